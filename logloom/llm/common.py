@@ -73,7 +73,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it; a path without a scheme is local."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return pafs.FileSystem.from_uri(uri)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
