@@ -28,6 +28,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ END = 2
 BLOCK = 1 << 16
 BITS, PROBES = 10, 7
 FOOTER, MAGIC = struct.Struct("<6Q8s"), b"LOOMSST1"
-#: Parts of texts whose ids are kept in each worker.
-KEPT_PARTS = 400_000
+#: Parts of texts, of a generation and of this length at most, whose ids are kept in each worker.
+KEPT_PARTS, KEPT_CHARS = 200_000, 200
 
 
 def tokenizer_path() -> str:
@@ -60,30 +61,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # two generations: a full one becomes the old one, from which what is met again moves back
         self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, part: str) -> bool:
+        """Whether a part (with a line break or, understood, a blank in front) has no other white space and no special token."""
+        own = part[1:] if part[:1] == "\n" else part
+        return own.split() == [own] and not any(s in own for s in self.special)
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        if len(self.parts) >= KEPT_PARTS:
+            self.old, self.parts = self.parts, {}
+        known, old = self.parts, self.old
         plans: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        if len(self.parts) > KEPT_PARTS:
-            self.parts.clear()
-        known = self.parts
+        odd: set[str] = set()
+        new: list[str] = []
         for text in batch:
-            if " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
-                plans.append(None)
-                continue
-            # each part has its own separator in front; the first has none
-            first, *rest = text.replace("\n", " \n").split(" ")
-            parts = [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
-            plans.append(parts)
-            missing.update(dict.fromkeys(p for p in parts if p not in known))
-        new = list(missing)
-        known.update(zip(new, self.whole(new)))
-        rest = iter(self.whole([t for t, p in zip(batch, plans) if p is None]))
-        return [next(rest) if p is None else b"".join(map(known.__getitem__, p)) for p in plans]
+            parts = text.replace("\n", " \n").split(" ")
+            rest = set(parts[1:])
+            for part in rest.difference(known):
+                if part in odd:
+                    continue
+                ids = old.get(part)
+                if ids is not None:
+                    known[part] = ids
+                elif self.apart(part):
+                    known[part] = b""
+                    new.append(part)
+                else:
+                    odd.add(part)
+            whole = parts[0][:1] == "\n" or not self.apart(parts[0]) or bool(odd) and not odd.isdisjoint(rest)
+            plans.append(None if whole else parts)
+        known.update(zip(new, self.whole([p if p[:1] == "\n" else " " + p for p in new])))
+        starts = self.whole([t if p is None else p[0] for t, p in zip(batch, plans)])
+        out = [s if p is None else s + b"".join(map(known.__getitem__, p[1:])) for s, p in zip(starts, plans)]
+        for part in new:
+            if len(part) > KEPT_CHARS:
+                del known[part]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
