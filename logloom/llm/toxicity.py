@@ -1,7 +1,9 @@
 """Operator 5: toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
-1. Features are words and word beginnings (4, 5 and 6 letters) of the lower-cased text. Over all labelled training rows,
-   those whose share among toxic rows exceeds that among others by LEAST_Z standard errors are taken, FEATURES at most.
+1. Features are words and word beginnings (4 to 8 letters) of the lower-cased text, and that one of them occurs at least
+   so often (LEVELS): a stem that is now and then in any text is a sign where it is frequent. Over all labelled training
+   rows, those whose share among toxic rows exceeds that among others by LEAST_Z standard errors are taken, FEATURES at
+   most.
 2. Every document becomes a sparse vector over them: 1 + log(count), times the inverse document frequency over all
    documents, normalised.
 3. Examples are the training rows with a vector, at most EXAMPLES a class (a bounded sample in the order of a hash of
@@ -37,11 +39,11 @@ FEATURES, LEAST_Z = 512, 5.0
 EXAMPLES, NEAREST, BLOCK = 4000, 15, 64
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS, LEVELS = (4, 5, 6, 7, 8), (2, 3, 5)
 #: Words whose features are kept in each worker.
 KEPT_WORDS = 300_000
 #: Distance at which a neighbour's weight is half that of one without any.
-HALF = 0.25
+HALF = 0.05
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,6 +54,15 @@ def of_word(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
+def of_text(text: str) -> dict[str, int]:
+    """The features of a text and their counts; a level counts once."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for f in of_word(word):
+            found[f] += n
+    return found | {f"{f}#{k}": 1 for f, n in found.items() for k in LEVELS if n >= k}
+
+
 def counts_by_class(training: DataFrame) -> DataFrame:
     """training(text, toxic): feature, toxic and clean rows that have it. Each task sums its own rows first."""
 
@@ -67,7 +78,7 @@ def counts_by_class(training: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                seen[toxic].update({f for w in set(WORD.findall(text.lower())) for f in of_word(w)})
+                seen[toxic].update(of_text(text).keys())
             if len(seen[0]) + len(seen[1]) > KEPT_WORDS:
                 yield out()
         if seen[0] or seen[1]:
@@ -94,7 +105,8 @@ def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(features)}
-        known: dict[str, list[int]] = {}
+        bases = {f.partition("#")[0] for f in features}
+        known: dict[str, list[str]] = {}
         for batch in slices(batches):
             if len(known) > KEPT_WORDS:
                 known.clear()
@@ -104,11 +116,12 @@ def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
                 for word, n in Counter(WORD.findall(text.lower())).items():
                     own = known.get(word)
                     if own is None:
-                        own = known[word] = [place[f] for f in of_word(word) if f in place]
-                    for i in own:
-                        found[i] += n
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
+                        own = known[word] = [f for f in of_word(word) if f in bases]
+                    for f in own:
+                        found[f] += n
+                levels = found | {f"{f}#{k}": 1 for f, n in found.items() for k in LEVELS if n >= k}
+                ids.append(sorted(place[f] for f in levels if f in place))
+                counts.append([levels[features[i]] for i in ids[-1]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "held_out", "ids", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, ids array<int>, counts array<bigint>")

@@ -58,7 +58,7 @@ def test_toxicity_held_out_accuracy(spark, sf):
     out = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     caught = [r.predicted for r in out if r.toxic]
     wrong = [r.predicted for r in out if not r.toxic]
-    assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.02
+    assert np.mean(caught) > 0.85 and np.mean(wrong) < 0.02
 
 
 def test_toxicity_defined_results(spark):
