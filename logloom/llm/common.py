@@ -93,6 +93,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         yield batch.slice(start)
 
 
-def names_kept(df: DataFrame) -> DataFrame:
-    """The whole row as the one column `row`, so that columns of any name pass through an operator."""
-    return df.select(F.struct("*").alias("row"))
+class Kept(dict):
+    """A table of bounded size in two generations: when the new one is full it becomes the old one, and what is found in
+    the old one moves to the new. Frequent keys stay, and at most twice `size` entries are held."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def add(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def again(self, key):
+        """The value from the old generation, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.add(key, value)
+        return value

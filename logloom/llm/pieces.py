@@ -15,7 +15,7 @@ Weights
                     weight exists and it is the library's encoding.
 
 Words are independent: no piece has the marker behind another character (checked at compile time), so no path crosses
-there. Encodings of words are kept in a table of bounded size; a full table starts anew.
+there. Encodings of words are kept in a table of bounded size.
 
 Defined results: a null text is the empty text and has no ids; very long texts and words take time in proportion to
 their length; repeated rows give the same ids; an empty table gives an empty result; other columns are not read.
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, texts
+from .common import Kept, slices, small_batches, table, texts
 
 MARK = "▁"
-#: Words, and parts of words, whose encodings are kept in each worker.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+#: Words, and parts of words, of a generation whose encodings are kept in each worker.
+KEPT_WORDS = 130_000
+KEPT_PAIRS = 300_000
 #: Longer words are not kept.
 KEPT_CHARS = 200
 SCHEMA = "doc_id long, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean"
@@ -292,16 +292,18 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-class _Words(dict):
+class _Words(Kept):
     """Ids by word. A key has the marker before it unless it starts with a line break or, as a whole normalised piece
     of text, with a space."""
 
     def __init__(self, transducer: Transducer):
+        super().__init__(KEPT_WORDS)
         self.of = transducer
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
+        ids = self.again(word)
+        if ids is not None:
+            return ids
         of = self.of
         if word[:1] == " ":
             ids = of.word_ids(word[1:])
@@ -310,22 +312,23 @@ class _Words(dict):
         else:
             ids = of.word_ids(MARK + word)
         if len(word) <= KEPT_CHARS:
-            self[word] = ids
+            self.add(word, ids)
         return ids
 
 
-class _Parts(dict):
+class _Parts(Kept):
     """Ids by part of a word."""
 
     def __init__(self, transducer: Transducer):
+        super().__init__(KEPT_WORDS)
         self.of = transducer
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self.of.part_ids(part)
-        if len(part) <= KEPT_CHARS:
-            self[part] = ids
+        ids = self.again(part)
+        if ids is None:
+            ids = self.of.part_ids(part)
+            if len(part) <= KEPT_CHARS:
+                self.add(part, ids)
         return ids
 
 
