@@ -1,23 +1,24 @@
 """Operator 5: toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
 1. Features are words and word beginnings (4 to 8 letters) of the lower-cased text, and that one of them occurs at least
-   so often (LEVELS): a stem that is now and then in any text is a sign where it is frequent. Over all labelled training
-   rows, those whose share among toxic rows exceeds that among others by LEAST_Z standard errors are taken, FEATURES at
-   most.
+   so often (LEVELS): a stem that is now and then in any text is a sign where it is frequent. Over a bounded sample of the
+   labelled training rows (SAMPLE a class at most, in the order of a hash of doc_id), those whose share among toxic rows
+   exceeds that among others by LEAST_Z standard errors are taken, FEATURES at most. The sample's ids are broadcast, so no
+   text is shuffled.
 2. Every document becomes a sparse vector over them: 1 + log(count), times the inverse document frequency over all
    documents, normalised.
-3. Examples are the training rows with a vector, at most EXAMPLES a class (a bounded sample in the order of a hash of
-   doc_id; both bounds are parameters). Their index has postings by feature in blocks of BLOCK examples, and each
+3. Examples are rows of that sample with a vector, at most EXAMPLES a class, in the same order (both bounds are
+   parameters). Their index has postings by feature in blocks of BLOCK examples, and each
    feature's largest weight in each block. A query's blocks are searched by falling upper bound until no block can hold
    one of the NEAREST; the result is exact.
 4. The neighbours vote with weights that fall with distance; a logistic curve, fitted to the votes that examples get from
    each other, turns the vote into a score. Documents without any feature get the share of toxic rows among such
-   training rows.
+   training rows, whether in the sample or not.
 
 Labels come from rows with crc32(doc_id) mod 3 other than 1 only. lang, source and doc_id are no inputs of a score.
 
 Defined results: a null or empty text has no feature; a null doc_id is held out as the text "null" would be and is no
-example; conflicting labels of a doc_id count each; ties between neighbours go to the smaller doc_id; very long texts are
+example; conflicting labels of a doc_id count each, equal ones once; ties between neighbours go to the smaller doc_id; very long texts are
 read whole; without training rows of both classes every score is the share of toxic rows (0 without any); empty tables
 give empty results; other columns are not read.
 """
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, stored, table, texts
 
 FEATURES, LEAST_Z = 512, 5.0
+#: Labelled training rows of a class that features and examples are taken from, at most.
+SAMPLE = 20_000
 EXAMPLES, NEAREST, BLOCK = 4000, 15, 64
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
@@ -87,16 +90,30 @@ def counts_by_class(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def chosen(training: DataFrame) -> tuple[list[str], int, int]:
-    """The features, and how many training rows are toxic and not."""
+def sampled(marks: DataFrame) -> tuple[DataFrame, int, int]:
+    """marks(doc_id, toxic), distinct. The sample of it, and how many rows are toxic and not."""
+    rows = {bool(r.toxic): r["count"] for r in marks.groupBy("toxic").count().collect()}
+    n1, n0 = rows.get(True, 0), rows.get(False, 0)
+    place, out = F.xxhash64("doc_id"), None
+    for toxic, n in ((1, n1), (0, n0)):
+        # the hashes' lower end holds SAMPLE rows and a few more, so that few rows meet in the cut
+        end = int((1 << 64) * min(1.0, (SAMPLE + 10 * SAMPLE**0.5) / max(n, 1))) - (1 << 63) - 1
+        own = marks.where((F.col("toxic") == toxic) & (place <= F.lit(end))).orderBy(place, "doc_id").limit(SAMPLE)
+        out = own if out is None else out.unionByName(own)
+    return stored(out, "sample"), n1, n0
+
+
+def chosen(training: DataFrame, all1: int, all0: int) -> list[str]:
+    """training(text, toxic), a sample of all1 toxic and all0 other rows: the features. A feature's share is that among
+    all these rows, each class with its own weight, so a sample ranks features as all rows would."""
     rows = {bool(r.toxic): r["count"] for r in training.groupBy("toxic").count().collect()}
     n1, n0 = rows.get(True, 0), rows.get(False, 0)
     if not n1 or not n0:
-        return [], n1, n0
-    share = (F.col("toxic") + F.col("clean")) / F.lit(n1 + n0)
+        return []
+    share = (F.col("toxic") / n1 * all1 + F.col("clean") / n0 * all0) / (all1 + all0)
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     found = counts_by_class(training).where("toxic + clean < " + str(n1 + n0)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return [r.feature for r in found.orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()], n1, n0
+    return [r.feature for r in found.orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()]
 
 
 def vectors(docs: DataFrame, features: list[str]) -> DataFrame:
@@ -197,16 +214,17 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = texts(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
-    marks = stored(labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id"))), "marks")
-    features, n1, n0 = chosen(rows.where("not held_out").join(marks, "doc_id").select("text", "toxic"))
+    marks = stored(labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id"))).distinct(), "marks")
+    sample, n1, n0 = sampled(marks)
+    sample = F.broadcast(sample)  # 2 * SAMPLE rows at most
+    features = chosen(rows.where("not held_out").join(sample, "doc_id").select("text", "toxic"), n1, n0)
     sparse = stored(vectors(rows, features), "vectors")
     n_docs = sparse.count()
     df = {r.f: r["count"] for r in sparse.select(F.explode("ids").alias("f")).groupBy("f").count().collect()}  # FEATURES rows at most
     idf = np.array([np.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(features))])
-    known = sparse.where("not held_out").join(marks, "doc_id")
-    bare = {r.toxic: r["count"] for r in known.where("size(ids) = 0").groupBy("toxic").count().collect()}
+    bare = {r.toxic: r["count"] for r in sparse.where("not held_out and size(ids) = 0").select("doc_id").join(marks, "doc_id").groupBy("toxic").count().collect()}
     prior = bare.get(1, 0) / sum(bare.values()) if bare else 0.0
-    examples = []
+    known, examples = sparse.where("not held_out").join(sample, "doc_id"), []
     if features:
         for toxic in (0, 1):
             picked = known.where((F.col("toxic") == toxic) & (F.size("ids") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "ids", "counts").limit(EXAMPLES)
