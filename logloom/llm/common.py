@@ -71,6 +71,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """files(path), dealt out to as many tasks as there are files. The number is given, for rows of paths are so small
+    that Spark would otherwise put them all into one task."""
+    return files.repartition(max(1, files.count()), "path")
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it; a path without a scheme is local."""
     if "://" not in uri:

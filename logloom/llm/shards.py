@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, open_fs, slices, small_batches, stored, table, texts
+from .common import dealt, fresh, open_fs, slices, small_batches, stored, table, texts
 
 END = 2
 BLOCK = 1 << 16
@@ -307,7 +307,7 @@ def read(shards: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
                 shard.close()
 
-    return shards.select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(shards.select("path", "start")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

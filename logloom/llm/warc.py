@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, open_fs, slices, small_batches, stored, table
+from .common import dealt, fresh, open_fs, slices, small_batches, stored, table
 
 LEAST_REVISIT = 1000
 DATE = "2020-01-01T00:00:00Z"
@@ -174,7 +174,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                         n += 1
                 yield pa.RecordBatch.from_pydict({"path": [name], "n_records": [n]})
 
-    files = archives.select("path").repartition("path").mapInArrow(run, "path string, n_records long")
+    files = dealt(archives.select("path")).mapInArrow(run, "path string, n_records long")
     return stored(files.select(F.concat(F.lit(folder), "path").alias("path"), F.concat(F.lit(folder), "path", F.lit(".index")).alias("index"), "n_records"), "normalised")
 
 
@@ -222,7 +222,7 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return archives.select("path", "index").repartition("path").mapInArrow(run, SCHEMA)
+    return dealt(archives.select("path", "index")).mapInArrow(run, SCHEMA)
 
 
 def _lines(stream: BinaryIO) -> Iterator[bytes]:
