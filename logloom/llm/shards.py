@@ -45,6 +45,8 @@ BITS, PROBES = 10, 7
 FOOTER, MAGIC = struct.Struct("<6Q8s"), b"LOOMSST1"
 #: Parts of texts, of a generation and of this length at most, whose ids are kept in each worker.
 KEPT_PARTS, KEPT_CHARS = 200_000, 200
+#: Parts that are encoded as one text, and the character that stands for a blank in byte-level vocabularies.
+JOINED, BLANK = 1000, "\u0120"
 
 
 def tokenizer_path() -> str:
@@ -61,6 +63,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] == BLANK]] = True
         # two generations: a full one becomes the old one, from which what is met again moves back
         self.parts: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -68,6 +72,18 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, parts: list[str]) -> None:
+        """Adds the ids of parts that follow a blank. They are encoded as one text, which costs less than a text each;
+        an id that starts with a blank starts a part, for parts have no other."""
+        for start in range(0, len(parts), JOINED):
+            own = parts[start : start + JOINED]
+            (data,) = self.whole([" " + " ".join(own)])
+            at = np.flatnonzero(self.starts[np.frombuffer(data, "<u4")])
+            if len(at) != len(own):
+                raise ValueError("the tokenizer does not cut before blanks")
+            ends = [*(at * 4).tolist(), len(data)]
+            self.parts.update((p, data[a:b]) for p, a, b in zip(own, ends, ends[1:]))
+
     def apart(self, part: str) -> bool:
         """Whether a part (with a line break or, understood, a blank in front) has no other white space and no special token."""
         own = part[1:] if part[:1] == "\n" else part
@@ -96,7 +112,9 @@ class Encoder:
                     odd.add(part)
             whole = parts[0][:1] == "\n" or not self.apart(parts[0]) or bool(odd) and not odd.isdisjoint(rest)
             plans.append(None if whole else parts)
-        known.update(zip(new, self.whole([p if p[:1] == "\n" else " " + p for p in new])))
+        broken = [p for p in new if p[:1] == "\n"]
+        known.update(zip(broken, self.whole(broken)))
+        self.joined([p for p in new if p[:1] != "\n"])
         starts = self.whole([t if p is None else p[0] for t, p in zip(batch, plans)])
         out = [s if p is None else s + b"".join(map(known.__getitem__, p[1:])) for s, p in zip(starts, plans)]
         for part in new:
