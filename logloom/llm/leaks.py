@@ -4,10 +4,10 @@ A window is as many consecutive words of a document as a benchmark item has. It
 of their 5-word shingles (sum of the smaller over sum of the larger counts) is 0.8 or more. Shorter items have one
 shingle, the whole.
 
-1. Seeds. Such a window shares a shingle with its item, so only windows that line up a shingle with an item's need a look;
-   nothing is lost. Where the benchmark has at most INLINE shingles (checked), documents are searched for their hashes in
-   place, and a hit is passed over if the hit before it says the same of every item that has the shingle. A larger
-   benchmark is joined by hash instead.
+1. Seeds. Such a window shares shingles with its item. Windows that line up a shingle with an item's are looked at, and so
+   are all others that have as many shingles of an item, in any places, as a similarity of 0.8 takes (a passage with its
+   halves swapped lines up nothing), so nothing is lost. Where the benchmark has at most INLINE shingles (checked),
+   documents are searched for their hashes in place. A larger benchmark is joined by hash instead.
 2. Fingerprints. Distinct windows and items get 64-bit SimHash fingerprints of their shingles. With RADIUS + 1 blocks, two
    within RADIUS bits agree on one block at least, so the join on length, block and value misses none of them. A
    similarity of 0.8 is an angle of 0.15 half-turns, about 10 bits; RADIUS lies 3.6 standard deviations beyond.
@@ -69,39 +69,52 @@ def _similarity(a: str, b: str) -> Column:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, start, n_words, window: every window that lines up a shingle with one of an item (item_id, words)."""
-    seeds, out = [], None
+    """doc_id, start, n_words, window, lined_up: every window that lines up a shingle with one of an item (item_id, words),
+    and every other window that has enough of an item's shingles."""
+    out = None
     sizes = [r.k for r in items.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 1 to 5
-    for k in sizes:
-        own = items.where(F.least(F.size("words"), F.lit(SHINGLE)) == k)
-        seeds.append(own.select("item_id", "words", F.size("words").alias("n_words"), F.explode(F.expr(_places("words", k))).alias("at")).withColumns({"hash": F.expr(_hash("words", "at", k)), "before": F.expr(f"if(at > 0, {_hash('words', 'at - 1', k + 1)}, null)")}))
     spread = docs.select("doc_id", words_of("text").alias("words"))
-    for k, own in zip(sizes, seeds):
-        own = stored(own.drop("words"), "seeds")
+    for k in sizes:
+        own = items.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).select("item_id", "words", F.size("words").alias("n_words"), F.explode(F.expr(_places("words", k))).alias("at"))
+        own = stored(own.withColumn("hash", F.expr(_hash("words", "at", k))).drop("words"), "seeds")
         n = own.count()
-        places = _places("words", k)
-        if n <= INLINE:
-            rows = own.groupBy("hash").agg(F.count("before").alias("n"), F.count(F.lit(1)).alias("of"), F.countDistinct("before").alias("kinds"), F.min("before").alias("before")).collect()
-            wanted = ", ".join(f"{r['hash']}L" if r["hash"] > -(1 << 63) else "-9223372036854775807L - 1L" for r in rows)
-            same = ", ".join(f"{r.before}L" if r.before > -(1 << 63) else "-9223372036854775807L - 1L" for r in rows if r.n == r.of and r.kinds == 1)
-            test = f"{_hash('words', 'i', k)} in ({wanted})"
-            if same:
-                test += f" and not (i > 0 and {_hash('words', 'i - 1', k + 1)} in ({same}))"
-            places = f"filter({places}, i -> {test})"
         # exploded as an expression: a filter on the array would be pushed below `words` and split the text for every place
-        hits = spread.select("doc_id", "words", F.explode(F.expr(places)).alias("i")).withColumn("hash", F.expr(_hash("words", "i", k)))
-        small = own.select("hash", "at", "n_words").distinct()
-        met = hits.join(F.broadcast(small) if n <= BROADCAST else small, "hash")
-        met = met.withColumn("start", F.expr("greatest(0, least(i - at, size(words) - n_words))"))
-        met = met.select("doc_id", "start", "n_words", F.expr("slice(words, start + 1, n_words)").alias("window"))
+        if n <= INLINE:
+            wanted = ", ".join(f"{r['hash']}L" if r["hash"] > -(1 << 63) else "-9223372036854775807L - 1L" for r in own.select("hash").distinct().collect())
+            places = f"filter({_places('words', k)}, i -> {_hash('words', 'i', k)} in ({wanted}))"
+            met = spread.select("doc_id", "words", F.explode(F.expr(f"filter(array({places}), x -> size(x) > 0)")).alias("hits"))
+        else:
+            keys = own.select("hash").distinct()
+            places = spread.select("doc_id", "words", F.explode(F.expr(_places("words", k))).alias("i")).withColumn("hash", F.expr(_hash("words", "i", k)))
+            met = places.join(F.broadcast(keys) if n <= BROADCAST else keys, "hash", "left_semi").groupBy("doc_id", "words").agg(F.collect_set("i").alias("hits"))
+        met = stored(met.withColumn("id", F.monotonically_increasing_id()), "met")
+        hits = met.select("id", F.size("words").alias("size"), F.explode("hits").alias("i"), F.col("words").alias("w")).select("id", "size", "i", F.expr(_hash("w", "i", k)).alias("hash"))
+        starts = hits.join(own.select("hash", "at", "n_words").distinct(), "hash").select("id", F.expr("greatest(0, least(i - at, size - n_words))").alias("start"), "n_words", F.lit(True).alias("lined_up"))
+        if k == SHINGLE:  # shorter items have one shingle, which lines up
+            starts = starts.unionByName(_shifted(hits, own))
+        starts = stored(starts.groupBy("id", "start", "n_words").agg(F.bool_or("lined_up").alias("lined_up")), "starts")
+        met = starts.join(met.drop("hits"), "id").select("doc_id", "start", "n_words", F.expr("slice(words, start + 1, n_words)").alias("window"), "lined_up")
         out = met if out is None else out.unionByName(met)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, n_words int, window array<string>")
-    return out.distinct()
+        return docs.sparkSession.createDataFrame([], "doc_id long, start int, n_words int, window array<string>, lined_up boolean")
+    return out.groupBy("doc_id", "start", "n_words", "window").agg(F.bool_or("lined_up").alias("lined_up"))
+
+
+def _shifted(hits: DataFrame, own: DataFrame) -> DataFrame:
+    """id, start, n_words, lined_up (false): the windows that have enough shingles of an item, in any order. Two sets of m
+    shingles are similar if they share m * 2 * LEAST / (1 + LEAST) or more, so from the hit at j on, as many hits less one
+    must follow before the window ends."""
+    at = hits.join(own.select("item_id", "n_words", "hash").distinct(), "hash").where("size >= n_words")
+    at = at.groupBy("id", "size", "item_id", "n_words").agg(F.array_sort(F.collect_set("i")).alias("p"))
+    at = at.withColumn("m", F.expr(f"n_words - {SHINGLE - 1}")).withColumn("need", F.expr(f"cast(ceil(m * {2 * LEAST / (1 + LEAST)!r}D - 1e-6D) as int)"))
+    runs = F.expr("filter(transform(sequence(0, size(p) - need), j -> struct(greatest(0, p[j + need - 1] - m + 1) as a, least(p[j], size - n_words) as b)), x -> x.a <= x.b)")
+    starts = at.where("size(p) >= need").select("id", "n_words", F.explode(runs).alias("x")).select("id", F.explode(F.sequence("x.a", "x.b")).alias("start"), "n_words")
+    return starts.distinct().withColumn("lined_up", F.lit(False))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_word (start of the first leaking window), n_windows, similarity (the largest)."""
+    """doc_id, item_id, first_word (start of the first leaking window), n_windows, similarity (the largest); of the windows
+    that line up a shingle if one of them leaks, or else of all."""
     items = stored(benchmark.select(F.col("item_id").cast("long"), words_of("text").alias("words")).where(F.size("words") > 0), "items")
     found = stored(windows(docs.select(F.col("doc_id").cast("long"), "text"), items), "windows")
 
@@ -117,7 +130,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = near.join(own, ["n_words", "fp"]).select("n_words", "item_fp", F.col("words").alias("window"), F.col("shingles").alias("a"))
     pairs = pairs.join(theirs.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("shingles").alias("b")), ["n_words", "item_fp"])
     same = stored(pairs.withColumn("similarity", _similarity("a", "b")).where(F.col("similarity") >= LEAST).select("n_words", "window", "item_id", "similarity"), "same")
-    return found.join(same, ["n_words", "window"]).groupBy("doc_id", "item_id").agg(F.min("start").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.max("similarity").alias("similarity"))
+    rows = found.join(same, ["n_words", "window"]).groupBy("doc_id", "item_id", "lined_up").agg(F.min("start").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.max("similarity").alias("similarity"))
+    first = rows.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_word", "n_windows", "similarity"), "lined_up").alias("of"))
+    return first.select("doc_id", "item_id", "of.first_word", "of.n_windows", "of.similarity")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
