@@ -8,6 +8,10 @@ Pages count once a line, so each page gives its distinct lines, and counts are c
 most its mean number of lines over RATIO such lines, whatever its size; they are joined to its pages as one array, and a
 hot host's pages need not meet in a task.
 
+Documents come in few, large sources, in which no line fills half. `framed` takes the lines that many different texts have,
+in a source or in all, for the pipeline. A document that consists mostly of such lines is a copy of others; it stays whole
+and is left to near-dedup.
+
 Defined results: null and empty texts have no lines and stay; a null host is a host of its own; repeated pages count
 each; very long pages are read whole; an empty table gives an empty result; other columns pass through.
 """
@@ -20,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 RATIO, LEAST_PAGES = 0.5, 10
+#: For documents: a line goes if LEAST_TEXTS different texts have it, and more than a share of its source's or of all.
+LEAST_TEXTS, SOURCE_RATIO, WHOLE_RATIO = 10, 0.01, 0.001
+#: A document that would keep a smaller share of its characters stays as it is.
+LEAST_KEPT = 0.5
 #: Where a web page's text breaks: at tags and line ends.
 BREAKS = r"(<[^>]*>|[\r\n])+"
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -45,6 +53,30 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     return stored(out.select("t.host", "host_pages", F.coalesce("keys", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("keys")), "boilerplate")
 
 
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(host, lines, text). Returns host, keys (of lines repeated in it), and one row of keys (of lines repeated in all
+    documents). Copies of a text count once. By the shares, neither has more keys than its mean number of lines over them."""
+    own = F.array_distinct(F.filter(F.transform("lines", trimmed), lambda x: x != ""))
+    prints = docs.select("host", "lines", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text"))
+    hosts, whole = prints.groupBy("host").agg(F.countDistinct("text").alias("of")), prints.agg(F.countDistinct("text").alias("of"))
+    seen = stored(prints.select("host", "text", F.explode(own).alias("line")).select("host", "text", _key(F.col("line")).alias("key")).distinct(), "seen")
+    often = lambda share: F.expr(f"n >= {LEAST_TEXTS} and n > {share} * of")
+    near = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_TEXTS}").alias("s").join(F.broadcast(hosts.alias("h")), F.expr("s.host <=> h.host")).where(often(SOURCE_RATIO))
+    everywhere = seen.select("text", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_TEXTS}").crossJoin(F.broadcast(whole)).where(often(WHOLE_RATIO))
+    return stored(near.groupBy(F.col("s.host").alias("host")).agg(F.collect_list("key").alias("keys")), "repeated"), stored(everywhere.agg(F.collect_list("key").alias("everywhere")), "everywhere")
+
+
+def framed(docs: DataFrame) -> DataFrame:
+    """docs(row, host, lines, text). Returns row, n_dropped and kept: the lines that are not repeated in many documents."""
+    near, everywhere = repeated(docs.select("host", "lines", "text"))
+    rows = docs.alias("p").join(near.alias("b"), F.expr("p.host <=> b.host"), "left").crossJoin(F.broadcast(everywhere)).select("p.row", "p.lines", F.coalesce("b.keys", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("keys"), "everywhere")
+    stay = F.filter("lines", lambda x: (trimmed(x) == "") | ~(F.array_contains("everywhere", _key(trimmed(x))) | F.array_contains("keys", _key(trimmed(x)))))
+    rows = rows.withColumn("stay", stay)
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
+    copy = size("stay") < LEAST_KEPT * size("lines")
+    return rows.select("row", F.when(copy, 0).otherwise(F.size("lines") - F.size("stay")).alias("n_dropped"), F.when(copy, F.col("lines")).otherwise(F.col("stay")).alias("kept"))
+
+
 def cleaned(pages: DataFrame) -> DataFrame:
     """pages(row, host, lines). Returns row, host, host_pages, n_lines, n_dropped (both of lines that aren't empty), and
     kept: the lines that stay."""
