@@ -107,7 +107,7 @@ WRITTEN = [
     ("lgpl", FULL, "library is free software", r"this library is free software you can redistribute it and or modify it"),
     ("gpl", FULL, "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document"),
     ("apache-2.0", FULL, "apache org licenses", r"(?:http|https) www apache org licenses license 2 0"),
-    ("apache-2.0", FULL, "in compliance with the license", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", FULL, "in compliance with the licen", r"you may not use this file except in compliance with the licen[cs]e"),
     ("mpl-2.0", FULL, "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
     ("cc0-1.0", FULL, "waived all copyright", r"has waived all copyright and related or neighboring rights"),
     ("ofl-1.1", FULL, "font software", r"this font software is licensed under the sil open font licen[cs]e"),
@@ -141,7 +141,7 @@ WRITTEN = [
     ("json", NAME, "json", r"json licen[cs]e"),
     ("json", FULL, "good not evil", r"the software shall be used for good not evil"),
     ("hippocratic", NAME, "hippocratic", r"hippocratic licen[cs]e"),
-    ("llama-community", NAME, "community license", r"llama (?:\d )?community licen[cs]e"),
+    ("llama-community", NAME, "community licen", r"llama (?:\d )?community licen[cs]e"),
     ("commons-clause", NAME, "commons clause", r"commons clause(?: licen[cs]e condition)?"),
     ("cc0-1.0", NAME, "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
     ("cc0-1.0", NAME, "creative commons zero", r"creative commons zero(?: v1 0)?(?: universal)?"),
@@ -166,7 +166,8 @@ WRITTEN = [
     ("proprietary", NOTICE, "proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", NOTICE, "prior written", r"without (?:the )?(?:express )?prior written (?:permission|consent)"),
     ("proprietary", NOTICE, "reproduced", r"no part of this (?:\S+ ){1,3}may be reproduced"),
-    ("proprietary", NOTICE, "redistribut", r"(?:unauthori[sz]ed (?:copying|redistribution)|may not be redistributed)"),
+    ("proprietary", NOTICE, "unauthori", r"unauthori[sz]ed (?:copying|redistribution)"),
+    ("proprietary", NOTICE, "may not be redistributed", r"may not be redistributed"),
     ("proprietary", NAME, "end user", r"end user licen[cs]e agreement"),
     ("non-commercial", NOTICE, "commercial", r"(?:for )?non ?commercial (?:use|purposes) only"),
     ("research-only", NOTICE, "research", r"for (?:academic |non commercial )?research (?:use|purposes) only"),
