@@ -72,9 +72,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dealt(files: DataFrame) -> DataFrame:
-    """files(path), dealt out to as many tasks as there are files. The number is given, for rows of paths are so small
-    that Spark would otherwise put them all into one task."""
-    return files.repartition(max(1, files.count()), "path")
+    """files(path), dealt out to as many tasks as there are files, one each: in turn, from one partition. The number is
+    given, for rows of paths are so small that Spark would otherwise put them all into one task."""
+    return files.coalesce(1).repartition(max(1, files.count()))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

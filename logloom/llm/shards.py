@@ -3,13 +3,15 @@
 Documents are range-partitioned and sorted by doc_id (ties by text), encoded, and written by each task as one shard:
 
     block   entries (varints: bytes shared with the key before, bytes that follow, bytes of the value; then key and
-            value), a new block at BLOCK bytes with its first key whole; CRC-32 of the block behind it
+            value), a new block at BLOCK bytes with its first key whole; stored compressed, behind its own length, with
+            the CRC-32 of what is stored behind it
     index   for each block: its last key, offset and length
     bloom   bits over XXH64 of the keys, PROBES probes by double hashing
-    footer  offsets and lengths of index and bloom, number of documents and ids, magic; fixed length
+    footer  offsets and lengths of index and bloom, number of documents and ids, bytes of an id, magic; fixed length
 
-Keys are doc_ids in an order-preserving form (null first). Values are ids as little-endian unsigned 32-bit integers. A
-lookup asks the Bloom filter, finds the block by binary search in the index, and reads that block alone.
+Keys are doc_ids in an order-preserving form (null first). Values are ids as little-endian unsigned integers, of two
+bytes where the vocabulary has at most 65,536 of them, else of four. A lookup asks the Bloom filter, finds the block by
+binary search in the index, and reads that block alone.
 
 Encoding is the tokenizers library's. A text is cut at single blanks and line breaks between other characters: the
 tokenizer's own first step always cuts before these, so the ids of the parts, kept in a table of bounded size, are
@@ -18,13 +20,14 @@ those of the text. Texts with other white space, or with the string of a special
 Tasks name their files by themselves and report them in a table; what a lost or repeated attempt has left is never read.
 
 Defined results: a null text is the empty text and has the end id alone; null doc_ids come first; rows that repeat a
-doc_id are separate entries (a lookup gives the first); very long texts are one entry; an empty table gives no shards
+doc_id are separate entries in the order of a hash of their texts (a lookup gives the first); very long texts are one entry; an empty table gives no shards
 and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -42,11 +45,14 @@ from .common import dealt, fresh, open_fs, slices, small_batches, stored, table,
 END = 2
 BLOCK = 1 << 16
 BITS, PROBES = 10, 7
-FOOTER, MAGIC = struct.Struct("<6Q8s"), b"LOOMSST1"
+FOOTER, MAGIC = struct.Struct("<7Q8s"), b"LOOMSST2"
+CODEC = "zstd"
 #: Parts of texts, of a generation and of this length at most, whose ids are kept in each worker.
-KEPT_PARTS, KEPT_CHARS = 200_000, 200
+KEPT_PARTS, KEPT_CHARS = 300_000, 200
 #: Parts that are encoded as one text, and the character that stands for a blank in byte-level vocabularies.
 JOINED, BLANK = 1000, "\u0120"
+#: White space at which no text is cut.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def tokenizer_path() -> str:
@@ -63,14 +69,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.starts = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
-        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] == BLANK]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(1 + max(vocabulary.values()), bool)
+        self.starts[[i for t, i in vocabulary.items() if t[:1] == BLANK]] = True
+        self.width = 2 if len(self.starts) <= 1 << 16 else 4
         # two generations: a full one becomes the old one, from which what is met again moves back
         self.parts: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def joined(self, parts: list[str]) -> None:
         """Adds the ids of parts that follow a blank. They are encoded as one text, which costs less than a text each;
@@ -78,40 +87,40 @@ class Encoder:
         for start in range(0, len(parts), JOINED):
             own = parts[start : start + JOINED]
             (data,) = self.whole([" " + " ".join(own)])
-            at = np.flatnonzero(self.starts[np.frombuffer(data, "<u4")])
+            at = np.flatnonzero(self.starts[np.frombuffer(data, f"<u{self.width}")])
             if len(at) != len(own):
                 raise ValueError("the tokenizer does not cut before blanks")
-            ends = [*(at * 4).tolist(), len(data)]
+            ends = [*(at * self.width).tolist(), len(data)]
             self.parts.update((p, data[a:b]) for p, a, b in zip(own, ends, ends[1:]))
 
-    def apart(self, part: str) -> bool:
-        """Whether a part (with a line break or, understood, a blank in front) has no other white space and no special token."""
-        own = part[1:] if part[:1] == "\n" else part
-        return own.split() == [own] and not any(s in own for s in self.special)
+    def cut(self, text: str) -> list[str] | None:
+        """The parts of a text: what stands before the first blank, and what follows each (a line break stands in front of
+        its part). None if the text has to be encoded whole."""
+        if OTHER_SPACE.search(text) or any(map(text.__contains__, self.special)):
+            return None
+        parts = text.replace("\n", " \n").split(" ")
+        return parts if parts[0] else None
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.parts) >= KEPT_PARTS:
             self.old, self.parts = self.parts, {}
         known, old = self.parts, self.old
         plans: list[list[str] | None] = []
-        odd: set[str] = set()
         new: list[str] = []
         for text in batch:
-            parts = text.replace("\n", " \n").split(" ")
-            rest = set(parts[1:])
-            for part in rest.difference(known):
-                if part in odd:
-                    continue
-                ids = old.get(part)
-                if ids is not None:
-                    known[part] = ids
-                elif self.apart(part):
-                    known[part] = b""
-                    new.append(part)
+            parts = self.cut(text)
+            if parts is not None:
+                rest = set(parts[1:])
+                if "" in rest or "\n" in rest:
+                    parts = None
                 else:
-                    odd.add(part)
-            whole = parts[0][:1] == "\n" or not self.apart(parts[0]) or bool(odd) and not odd.isdisjoint(rest)
-            plans.append(None if whole else parts)
+                    fresh = rest.difference(known)
+                    found = old.keys() & fresh
+                    known.update((p, old[p]) for p in found)
+                    fresh -= found
+                    known.update(dict.fromkeys(fresh, b""))
+                    new += fresh
+            plans.append(parts)
         broken = [p for p in new if p[:1] == "\n"]
         known.update(zip(broken, self.whole(broken)))
         self.joined([p for p in new if p[:1] != "\n"])
@@ -185,8 +194,9 @@ class Bloom:
 class Writer:
     """A shard, written entry by entry in ascending key order."""
 
-    def __init__(self, out: pa.NativeFile):
-        self.out, self.at, self.block, self.last = out, 0, bytearray(), b""
+    def __init__(self, out: pa.NativeFile, width: int = 4):
+        self.out, self.width, self.at, self.block, self.last = out, width, 0, bytearray(), b""
+        self.codec = pa.Codec(CODEC)
         self.index: list[bytes] = []
         self.hashes: list[int] = []
         self.n_ids = 0
@@ -202,7 +212,7 @@ class Writer:
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
         self.hashes.append(xxhash.xxh64_intdigest(key))
-        self.n_ids += len(value) // 4
+        self.n_ids += len(value) // self.width
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -213,7 +223,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            data = bytes(self.block)
+            data = _varint(len(self.block)) + self.codec.compress(bytes(self.block), asbytes=True)
             start = self._write(data + struct.pack("<I", zlib.crc32(data)))
             self.index.append(_varint(len(self.last)) + self.last + _varint(start) + _varint(len(data)))
             self.block.clear()
@@ -222,7 +232,7 @@ class Writer:
         self._flush()
         index, bloom = b"".join(self.index), Bloom.of(self.hashes).bits.tobytes()
         places = self._write(index), len(index), self._write(bloom), len(bloom)
-        self._write(FOOTER.pack(*places, len(self.hashes), self.n_ids, MAGIC))
+        self._write(FOOTER.pack(*places, len(self.hashes), self.n_ids, self.width, MAGIC))
         self.out.close()
 
 
@@ -231,9 +241,9 @@ class Shard:
 
     def __init__(self, path: str):
         fs, name = open_fs(path)
-        self.file = fs.open_input_file(name)
+        self.file, self.codec = fs.open_input_file(name), pa.Codec(CODEC)
         size = self.file.size()
-        index_at, index_n, bloom_at, bloom_n, self.n_docs, self.n_ids, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
+        index_at, index_n, bloom_at, bloom_n, self.n_docs, self.n_ids, self.width, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
         data, at = self._read(index_at, index_n), 0
@@ -256,7 +266,8 @@ class Shard:
         data = self._read(start, n + 4)
         if zlib.crc32(data[:n]) != struct.unpack("<I", data[n:])[0]:
             raise ValueError("a block is damaged")
-        at, key = 0, b""
+        n, at = _read_varint(data, 0)
+        data, at, key = self.codec.decompress(data[at:-4], n, asbytes=True), 0, b""
         while at < n:
             shared, at = _read_varint(data, at)
             own, at = _read_varint(data, at)
@@ -269,13 +280,17 @@ class Shard:
         for i in range(len(self.blocks)):
             yield from self.block(i)
 
+    def ids(self, value: bytes) -> np.ndarray:
+        """A value's ids, as 32-bit integers."""
+        return np.frombuffer(value, f"<u{self.width}").astype("<u4")
+
     def get(self, doc_id: int | None) -> list[int] | None:
         """The ids of a document, or None."""
         key = key_of(doc_id)
         i = bisect.bisect_left(self.keys, key)
         if i == len(self.keys) or not self.bloom.may_have(key):
             return None
-        return next((np.frombuffer(v, "<u4").tolist() for k, v in self.block(i) if k == key), None)
+        return next((self.ids(v).tolist() for k, v in self.block(i) if k == key), None)
 
     def close(self) -> None:
         self.file.close()
@@ -288,24 +303,28 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, folder = path or tokenizer_path(), fresh(spark, "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, struct.pack("<I", END)
+        own = encoder(path)
+        end = END.to_bytes(own.width, "little")
         fs, top = open_fs(folder)
-        name, shard, first = f"/{uuid.uuid4().hex}.sst", None, None
+        name, shard, first = f"/{uuid.uuid4().hex}.sst", None, (None, 0)
         for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             if shard is None:
                 fs.create_dir(top, recursive=True)
-                shard, first = Writer(fs.open_output_stream(top + name, compression=None)), ids[0]
-            for doc_id, value in zip(ids, encode(batch.column("text").to_pylist())):
+                shard, first = Writer(fs.open_output_stream(top + name, compression=None), own.width), (ids[0], batch.column("place")[0].as_py())
+            for doc_id, value in zip(ids, own.encode(batch.column("text").to_pylist())):
                 shard.add(key_of(doc_id), value + end)
         if shard is not None:
             shard.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([len(shard.hashes)], pa.int64()), pa.array([shard.n_ids], pa.int64())], ["path", "first_id", "n_docs", "n_ids"])
-
-    rows = texts(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    shards = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "path string, first_id long, n_docs long, n_ids long")
-    shards = stored(shards.select(F.concat(F.lit(folder), "path").alias("path"), "first_id", "n_docs", "n_ids"), "manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+            yield pa.RecordBatch.from_pylist([{"path": name, "first_id": first[0], "first_place": first[1], "n_docs": len(shard.hashes), "n_ids": shard.n_ids}], kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("first_place", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    # texts of one doc_id, null above all, may be many: they are dealt out by a hash of the text
+    order = F.col("doc_id").asc_nulls_first(), F.col("place").asc()
+    rows = texts(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("place"), "text").repartitionByRange(*order)
+    shards = rows.sortWithinPartitions(*order, "text").mapInArrow(run, "path string, first_id long, first_place long, n_docs long, n_ids long")
+    shards = stored(shards.withColumn("path", F.concat(F.lit(folder), "path")), "manifest")
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_place").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return stored(shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "shards")
 
 
@@ -320,8 +339,9 @@ def read(shards: DataFrame) -> DataFrame:
                 for i in range(len(shard.blocks)):
                     rows = []
                     for key, value in shard.block(i):
-                        rows.append({"doc_id": id_of(key), "start": start, "n_tokens": len(value) // 4, "ids_crc32": zlib.crc32(value)})
-                        start += len(value) // 4
+                        ids = shard.ids(value)
+                        rows.append({"doc_id": id_of(key), "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids)})
+                        start += len(ids)
                     yield pa.RecordBatch.from_pylist(rows, kinds)
                 shard.close()
 

@@ -18,7 +18,7 @@ def test_ids_equal_the_library():
     own = S.Encoder(S.tokenizer_path())
     for _ in range(2):
         got = own.encode(texts)
-        assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, f"<u{own.width}").tobytes() for t in texts]
 
 
 def test_shards_round_trip(spark, sf):
