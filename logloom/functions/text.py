@@ -16,14 +16,14 @@ TOKEN = r"[\p{L}\p{N}_./:@-]{8,}"
 WORD = r"[\p{L}\p{N}_./:@-]{4,}"
 #: White space as str.split() has it.
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+NO_SPACE = SPACE.replace("[", "[^")
 HEAD, TAIL = 600, 200
 CHUNK_LINES, MOST_CHUNKS = 15, 24
 
 
 def split_lines(text: Column) -> Column:
     """The lines, without an empty one behind the last line end; the empty text has none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def collapse_space(text: Column) -> Column:
@@ -34,6 +34,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def blank(text: Column) -> Column:
+    """Whether a text has nothing but white space."""
+    return ~text.rlike(NO_SPACE)
+
+
 def distinctive_tokens(text: Column, known: Column | None = None) -> Column:
     """Runs of 8 or more word characters and ./:@- that are not letters alone and don't occur in what was known."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -73,11 +78,15 @@ def head_tail(text: Column, budget: Column) -> Column:
 
 def chunks(text: Column, lines: int = CHUNK_LINES, most: int = MOST_CHUNKS) -> Column:
     """Consecutive lines in `most` pieces at the most, of at least `lines` lines."""
-    all_lines = split_lines(text)
-    n = F.size(all_lines)
-    step = F.greatest(F.lit(lines), F.ceil(n / most).cast("int"))
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(all_lines, s, step), "\n"))
+
+
+    def cut(all_lines: Column) -> Column:
+        n = F.size(all_lines)
+        step = F.greatest(F.lit(lines), F.ceil(n / most).cast("int"))
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, step)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(all_lines, s, step), "\n"))
+
+    return bound(split_lines(text), cut)
 
 
 def strip_line_numbers(text: Column, tool: Column) -> Column:

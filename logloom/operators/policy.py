@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.redaction import plausible_ipv6
+from ..functions.gates import folded, may_have
+from ..functions.redaction import names_found, plausible_ipv6
+from ..functions.text import bound
+from ..sources.storage import stored
 
 PRESERVE, KEEP = 6, 0.5
 TRUNCATED = 300
@@ -20,11 +23,16 @@ def contacts(text: Column) -> Column:
 
 def reason_of(text: Column, private: bool) -> Column:
     """Why a text disqualifies its row; null if it does not. The first rule that holds gives the reason."""
-    topic = F.lower(F.regexp_extract(text, P.regex(P.SENSITIVE), 1))
-    rules = [F.when(topic != "", topic), *(F.when(text.rlike(P.regex(p)), F.lit(name)) for name, p in P.DROP_ROWS.items())]
-    if private:
-        rules.append(F.when(text.rlike(P.regex(P.PRIVATE_READ)), F.lit("private context")))
-    return F.coalesce(*rules, F.when(contacts(text) >= LEAST_CONTACTS, F.lit("contact list")))
+
+    def rules(x: Column) -> Column:
+        text, low = x["text"], x["low"]
+        topic = F.lower(F.regexp_extract(text, P.regex(P.SENSITIVE), 1))
+        out = [F.when(topic != "", topic), *(F.when(may_have(name, low) & text.rlike(P.regex(p)), F.lit(name)) for name, p in P.DROP_ROWS.items())]
+        if private:
+            out.append(F.when(may_have("private context", low) & text.rlike(P.regex(P.PRIVATE_READ)), F.lit("private context")))
+        return F.coalesce(*out, F.when((may_have("email", low) | may_have("phone", low)) & (contacts(text) >= LEAST_CONTACTS), F.lit("contact list")))
+
+    return bound(F.struct(text.alias("text"), folded(text).alias("low")), rules)
 
 
 def disqualify(fields: Column) -> Column:
@@ -32,28 +40,49 @@ def disqualify(fields: Column) -> Column:
     return F.coalesce(*(reason_of(F.coalesce(fields[f], F.lit("")), f in ("input", "result")) for f in ("goal", "said", "input", "result")), F.lit(""))
 
 
-def found_by(detector: str, text: Column) -> Column:
-    """What a detector finds in a text."""
-    return F.regexp_extract_all(text, F.lit(P.regex(P.AUDIT[detector])), F.lit(0))
+def found_by(detector: str, text: Column, low: Column) -> Column:
+    """What a detector finds in a text that was folded to `low`."""
+    none = F.array().cast("array<string>")
+    if detector == "ipv6 address":
+        finds = F.filter(F.regexp_extract_all(text, F.lit(P.regex(P.IPV6)), F.lit(0)), plausible_ipv6)
+    else:
+        finds = F.regexp_extract_all(text, F.lit(P.regex(P.AUDIT[detector])), F.lit(0))
+    return F.when(may_have(detector, low), finds).otherwise(none)
 
 
-def audit(strings: DataFrame, samples: int = 4) -> DataFrame:
-    """strings(id, value): detector, n and its first samples. One pass; a row for each detector that found something."""
-    ipv6 = F.filter(F.regexp_extract_all("value", F.lit(P.regex(P.IPV6)), F.lit(0)), plausible_ipv6)
-    finds = F.array(*(F.struct(F.lit(d).alias("detector"), found_by(d, F.col("value")).alias("found")) for d in P.AUDIT), F.struct(F.lit("ipv6 address").alias("detector"), ipv6.alias("found")))
-    rows = strings.select("id", F.explode(F.filter(finds, lambda x: F.size(x["found"]) > 0)).alias("x")).select("id", "x.detector", "x.found")
-    # the samples are the least (id, place); each group gives its few, so nothing grows with the number of finds
-    rows = rows.select("id", "detector", F.size("found").alias("n"), F.slice("found", 1, samples).alias("found"))
+def audit(strings: DataFrame, samples: int = 4, names: list[str] | None = None) -> DataFrame:
+    """strings(id, value): detector, n and its first samples, for each detector that found something; names(caller's list)
+    count under "name: ...". Finds are kept in a table, so each text is read once, with its counts and a few samples."""
+
+    def finds(x: Column) -> Column:
+        rows = [F.struct(F.lit(d).alias("detector"), found_by(d, x["value"], x["low"]).alias("found")) for d in (*P.AUDIT, "ipv6 address")]
+        return F.filter(F.array(*rows), lambda r: F.size(r["found"]) > 0)
+
+    own = bound(F.struct("value", folded(F.col("value")).alias("low")), finds)
+    if names:
+        by_name = lambda found: F.transform(F.array_distinct(found), lambda n: F.struct(F.concat(F.lit("name: "), n).alias("detector"), F.filter(found, lambda m: m == n).alias("found")))
+        own = F.concat(own, bound(names_found(F.col("value"), names), by_name))
+    rows = strings.where("value is not null").select("id", F.explode(own).alias("x")).select("id", "x.detector", F.size("x.found").alias("n"), F.slice("x.found", 1, samples).alias("found"))
+    rows = stored(rows, "finds")
     counts = rows.groupBy("detector").agg(F.sum("n").alias("n"))
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("detector").orderBy("id"))).where(F.col("rank") <= samples)
-    first = first.select("detector", "id", F.posexplode("found").alias("place", "sample")).withColumn("rank", F.row_number().over(Window.partitionBy("detector").orderBy("id", "place"))).where(F.col("rank") <= samples)
+    # the samples are the least (id, place); each group gives its few, so nothing grows with the number of finds
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("detector").orderBy("id", "found"))).where(F.col("rank") <= samples)
+    first = first.select("detector", "id", F.posexplode("found").alias("place", "sample")).withColumn("rank", F.row_number().over(Window.partitionBy("detector").orderBy("id", "place", "sample"))).where(F.col("rank") <= samples)
     lists = first.groupBy("detector").agg(F.array_sort(F.collect_list(F.struct("rank", "sample"))).alias("x")).select("detector", F.col("x.sample").alias("samples"))
     return counts.join(lists, "detector")
 
 
-def verdict(counts: DataFrame) -> DataFrame:
-    """One row: code 0 if no detector found anything, else 2."""
-    return counts.agg(F.when(F.coalesce(F.sum("n"), F.lit(0)) == 0, 0).otherwise(2).alias("code"))
+def should_have_gone(rows: DataFrame, state: Column) -> DataFrame:
+    """reason, n, sample: the rows whose state disqualifies them, and the least of each reason as JSON (160 characters)."""
+    shown = F.left(F.to_json(state), F.lit(160))
+    out = rows.select(disqualify(state).alias("reason"), shown.alias("sample")).where("reason <> ''")
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("sample"))
+
+
+def verdict(counts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """One row: code 0 if no detector or name found anything and no row should have gone, else 2."""
+    all_counts = counts.select("n") if gone is None else counts.select("n").unionByName(gone.select("n"))
+    return all_counts.agg(F.when(F.coalesce(F.sum("n"), F.lit(0)) == 0, 0).otherwise(2).alias("code"))
 
 
 def decide(score: Column, call_score: Column, tool: Column, keep: float = KEEP, drop_calls: Column | bool = True, protect: bool = True) -> Column:

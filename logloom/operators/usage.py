@@ -14,13 +14,17 @@ from ..functions.text import TOKEN
 PIECE = 8
 
 
+def pieces(run: str) -> Column:
+    """The distinct pieces of a run that is no shorter than one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(run) - PIECE + 1), lambda i: F.substring(run, i, F.lit(PIECE))))
+
+
 def occurrences(tokens: DataFrame, events: DataFrame) -> DataFrame:
     """tokens(session, token), events(session, pos, kind, body): session, token, pos, kind for each event that contains the
     token. Distinct tokens of a session are looked for once."""
     wanted = tokens.select("session", "token").distinct().withColumn("piece", F.left("token", F.lit(PIECE)))
     runs = events.select("session", "pos", "kind", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)))).alias("run"))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - PIECE + 1), lambda i: F.substring("run", i, F.lit(PIECE))))
-    runs = runs.select("session", "pos", "kind", "run", F.explode(pieces).alias("piece"))
+    runs = runs.select("session", "pos", "kind", "run", F.explode(pieces("run")).alias("piece"))
     met = wanted.join(runs, ["session", "piece"]).where(F.contains("run", F.col("token")))
     return met.select("session", "token", "pos", "kind").distinct()
 

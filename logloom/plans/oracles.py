@@ -74,6 +74,13 @@ ORACLES: dict[str, str] = {
 sums as (select doc_id, list(chunk order by chunk_no) filter (where chunk_no % 3 > 0) as kept, coalesce(sum(length(chunk)) filter (where chunk_no % 3 = 0), 0) as dropped from chunks group by doc_id)
 select d.doc_id, coalesce(array_to_string(list_concat(coalesce(kept, []), case when dropped > 0 then ['[' || dropped || ' chars of this output were trimmed; re-run to see all of it]'] else [] end), chr(10)), '') as trimmed
 from documents d left join sums s on s.doc_id = d.doc_id""",
+    "line_prune": f"""with l as (select doc_id, {LINES} as lines from documents), n as (select doc_id, lines, unnest(range(0, len(lines))) as i from l),
+r as (select doc_id, i, lines[i + 1] as line, length(lines[i + 1]) % 7 >= 3 as good from n),
+k as (select *, not regexp_full_match(line, '{SPACE}*') and (good or (coalesce(lag(good) over w, false) and coalesce(lead(good) over w, false))) as keep from r window w as (partition by doc_id order by i)),
+g as (select *, sum(keep::integer) over (partition by doc_id order by i) as run, sum(keep::integer) over (partition by doc_id) as n_kept from k),
+p as (select doc_id, run, max(line) filter (keep) as kept, count(*) filter (not keep) as n, sum(length(line)) filter (not keep) as chars, string_agg(line, chr(10) order by i) filter (not keep) as gone, any_value(n_kept) as n_kept from g group by doc_id, run),
+q as (select doc_id, string_agg(concat_ws(chr(10), kept, case when n = 0 then null when chars > 18 or run = n_kept then '(filtered ' || n || ' lines)' else gone end), chr(10) order by run) as pruned from p group by doc_id)
+select doc_id, coalesce(pruned, '') as pruned from documents left join q using (doc_id)""",
     "used_lines": f"with {USED} select doc_id, cast(line_no as integer) as line_no from used",
     "head_tail_survival": f"""with {USED},
 sizes as (select unnest([0.74, 0.54, 0.32]::double[]) as share),
@@ -85,7 +92,7 @@ rows as (select doc_id, total, cast(i as integer) as i, len(lines) as n, length(
 {fold('jobs', 0.32)}""",
     "hindsight_selector": f"""with recursive {LINE_TOKENS}, {DECISION},
 long_jobs as (select doc_id, source, now, length(text) as total, {LINES} as lines from jobs where length(text) >= {LONG}),
-proven as (select t.doc_id, line_no, count(distinct token) as score from tokens t join long_jobs j on j.doc_id = t.doc_id join documents d on d.source = t.source and d.doc_id > t.doc_id and d.doc_id <= j.now and contains(d.text, token) group by all),
+proven as (select t.doc_id, line_no, 1 as score from tokens t join long_jobs j on j.doc_id = t.doc_id join documents d on d.source = t.source and d.doc_id % 2 = 0 and d.doc_id > t.doc_id and d.doc_id <= j.now and contains(d.text, token) group by all),
 places as (select *, unnest(range(0, len(lines))) as i from long_jobs),
 rows as (select p.doc_id, total, cast(i as integer) as i, len(lines) as n, length(lines[i + 1]) as size, coalesce(score, 0) as score from places p left join proven v on v.doc_id = p.doc_id and v.line_no = p.i),
 {fold('long_jobs', 0.15)}""",
@@ -97,7 +104,7 @@ marks as (
   from tokens t left join seen s on s.doc_id = t.doc_id and s.token = t.token group by t.doc_id, t.token)
 select doc_id, token, case when first is null then null when own then 'own' when tool < first then 'recarried' else 'fresh' end as use from marks""",
     "quoted_lines": f"""with l as (select distinct item_id, regexp_replace(unnest({LINES}), '^{SPACE}+|{SPACE}+$', '', 'g') as line from benchmark)
-select item_id, line, doc_id from l join documents d on contains(d.text, line) where length(line) > 40 and length(line) < 200 and len(regexp_split_to_array(line, '\\s+')) >= 3""".replace("\\\\s", "\\s"),
+select item_id, line, doc_id from l join documents d on contains(d.text, line) where length(line) > 40 and length(line) < 200""",
     "narration_carry": """select conv_id, turn, coalesce(last_value(case when role = 'assistant' then text end ignore nulls) over w, '') as narration, coalesce(count(*) filter (where role = 'assistant') over w, 0) as text_index
 from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)""",
     "next_message": f"""with n as (select *, first_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by turn rows between 1 following and unbounded following) as next from conversations)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -98,16 +98,18 @@ def head_tail_survival(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("share").agg(F.count(F.lit(1)).alias("needed"), hit.alias("survived"), (hit / F.count(F.lit(1))).alias("ratio"))
 
 
-def _kept(docs: DataFrame, share: float) -> DataFrame:
-    kept = selection.select_lines(F.col("text"), F.col("scores"), share)
+def _kept(docs: DataFrame, score: Callable[[Column], Column], share: float) -> DataFrame:
+    kept = selection.select_lines(F.col("text"), score, share)
     return docs.select("doc_id", F.array_join(F.transform(F.array_sort(kept), lambda i: i.cast("string")), ",").alias("kept"))
 
 
 def overlap_selector(spark: SparkSession, sf: str) -> DataFrame:
     """Lines ranked by the words that they share with the text's first line, at a third of the size."""
-    docs = _long(spark, sf).select("doc_id", "text", text.split_lines(F.col("text")).alias("lines"))
-    docs = docs.withColumn("query", text.overlap_words(F.get("lines", F.lit(0))))
-    return _kept(docs.withColumn("scores", F.transform("lines", lambda x: text.overlap(text.overlap_words(x), F.col("query")))), 0.32)
+
+    def score(lines: Column) -> Column:
+        return text.bound(text.overlap_words(F.get(lines, F.lit(0))), lambda query: F.transform(lines, lambda x: text.overlap(text.overlap_words(x), query)))
+
+    return _kept(_long(spark, sf), score, 0.32)
 
 
 def _decision(docs: DataFrame) -> DataFrame:
@@ -117,16 +119,14 @@ def _decision(docs: DataFrame) -> DataFrame:
 
 
 def hindsight_selector(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines ranked by how many of their tokens were used up to the decision point, at 15 % of the size."""
+    """Lines of which the agent used a token up to the decision point come first, at 15 % of the size."""
     docs = _table(spark, sf, "documents")
     jobs = _decision(docs).where(F.length("text") >= LONG)
     tokens = _line_tokens(jobs).join(jobs.select("doc_id", "now"), "doc_id")
-    found = usage.occurrences(tokens, _events(docs))
-    proven = tokens.join(found, ["session", "token"]).where("pos > doc_id and pos <= now").groupBy("doc_id", "line_no").agg(F.countDistinct("token").alias("n"))
-    by_line = proven.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "n"))).alias("by_line"))
-    rows = jobs.select("doc_id", "text").join(by_line, "doc_id", "left")
-    score = lambda x, i: F.coalesce(F.try_element_at("by_line", i), F.lit(0).cast("long"))
-    return _kept(rows.withColumn("scores", F.transform(text.split_lines(F.col("text")), score)), 0.15)
+    found = usage.occurrences(tokens, _events(docs).where("kind = 'agent'"))
+    proven = tokens.join(found, ["session", "token"]).where("pos > doc_id and pos <= now").groupBy("doc_id").agg(F.collect_set("line_no").alias("proven"))
+    rows = jobs.select("doc_id", "text").join(proven, "doc_id", "left").withColumn("proven", F.coalesce("proven", F.array().cast("array<int>")))
+    return _kept(rows, lambda lines: F.transform(lines, lambda x, i: F.array_contains("proven", i).cast("int")), 0.15)
 
 
 def use_kind(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,18 +137,31 @@ def use_kind(spark: SparkSession, sf: str) -> DataFrame:
     return out.select((F.col("start") - 1).alias("doc_id"), "token", "use")
 
 
+def _windows(words: Column, value: Callable[[Column, Column, int], Column], n: int) -> Column:
+    """The values of every n words in a row."""
+    return text.bound(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: value(w, i, n)))
+
+
 def quoted_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark lines of 41 to 199 characters and three words or more that documents contain. Words inside a line stand
-    in the document as they are, so up to three of them are the key."""
+    """Benchmark lines of 41 to 199 characters that documents contain. Words inside a line stand in the document as they
+    are, so up to three of them are the key; a line of one or two words has a word of 20 characters or more, whose first
+    characters are a piece of a word as long in the document."""
     docs, items = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
-    lines = items.select("item_id", F.explode(F.array_distinct(labels.quotable(F.col("text"), None))).alias("line")).withColumn("w", F.split("line", r"\s+")).where(F.size("w") >= 3)
-    lines = lines.withColumn("n", F.least(F.lit(3), F.size("w") - 2)).select("item_id", "line", "n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("key"))
-    words = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    keys = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    lines = items.select("item_id", F.explode(F.array_distinct(labels.quotable(F.col("text"), None))).alias("line")).withColumn("w", F.split("line", r"\s+"))
+    hashed = lambda w, at, n: F.xxhash64(*(F.get(w, at + k) for k in range(n)))
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
     met = None
     for n in (1, 2, 3):
-        own = words.select("doc_id", F.explode(F.array_distinct(keys(n))).alias("key")).join(lines.where(F.col("n") == n), "key").select("doc_id", "item_id", "line")
+        size = F.size("w") == n + 2 if n < 3 else F.size("w") >= 5
+        inner = lines.where(size).select("item_id", "line", hashed("w", F.lit(1), n).alias("key"))
+        own = words.where(F.size("w") >= n).select("doc_id", F.explode(_windows(F.col("w"), hashed, n)).alias("key")).distinct()
+        own = own.join(inner, "key").select("doc_id", "item_id", "line")
         met = own if met is None else met.unionByName(own)
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    short = lines.where(F.size("w") < 3).select("item_id", "line", F.left(longest, F.lit(usage.PIECE)).alias("piece"))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S{20,}"), F.lit(0)))).alias("run"))
+    pieces = runs.select("doc_id", F.explode(usage.pieces("run")).alias("piece")).distinct()
+    met = met.unionByName(pieces.join(short, "piece").select("doc_id", "item_id", "line")).distinct()
     return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("line"))).select("item_id", "line", "doc_id")
 
 

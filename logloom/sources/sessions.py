@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import GENERIC_NAMES
-from ..functions.text import SPACE, split_lines
+from ..functions.text import SPACE, blank, split_lines
 
 LEAST_BYTES = 50_000
 
@@ -18,7 +18,7 @@ def session_files(spark: SparkSession, root: str, least_bytes: int = LEAST_BYTES
     files = files.where(F.col("length") >= least_bytes)
     if without:
         files = files.where(~F.contains("path", F.lit(without)))
-    return files.select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), "path", F.col("length").alias("file_bytes"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), "path", F.col("length").alias("file_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def session_lines(files: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def session_lines(files: DataFrame) -> DataFrame:
 
 def pair_rows(spark: SparkSession, path: str) -> DataFrame:
     """record (a variant) of every line that isn't blank; a line that is no JSON is an error."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("record"))
+    return spark.read.text(path).where(~blank(F.col("value"))).select(F.parse_json("value").alias("record"))
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:
