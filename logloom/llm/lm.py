@@ -1,14 +1,18 @@
 """Operator 4: log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Tokens are classes: the CLASSES - 2 most frequent training tokens, the end, and all others. The model predicts a class
-from the two before it: the context vector is a linear map of each one's vector, summed; the score of a class is its
-product with the class's own vector, plus a bias. Training tells true classes from noise drawn by their frequency, so no
-normaliser is needed there: from a start on the driver (SAMPLE training documents in the order of a hash, a bounded
-sample), every task makes one pass over its own training documents, and the tasks' weights are averaged by their tokens.
-
-For scoring, batched matrix products give the normaliser of every pair of context classes once, so each token's log
-probability is exactly normalised. A token of the class "others" also pays for itself within the class, by its smoothed
-count. The base score is that of smoothed counts alone.
+The model knows the end, the WORDS most frequent training tokens, and one word for all others. They stand in GROUPS groups,
+ranges of falling frequency with about equal sums of the roots of their counts. From the two words before a token, a
+context vector is made by a linear map of each one's vector; a group's score is its product with the group's own vector,
+plus a bias, and so is the score of each word of the group. The probability of a word is that of its group times its own
+within the group. Training tells true groups and words from noise drawn by their frequency, so no normaliser is needed there;
+scoring takes batched matrix products over all groups and over the words of the token's group, so each token's log
+probability is exactly normalised. The word for all others also pays for the token itself, by its smoothed count. The base
+score is that of smoothed counts alone.
+
+Training starts on the driver with SAMPLE training documents, the first by a hash of id and text. Then all training documents
+are dealt by that hash to blocks, of BLOCK_TOKENS tokens or more, MOST_BLOCKS at most; each block is learned in the order of
+the hash, from the same start, and the vectors are averaged by how often their words occurred. So neither scores nor
+weights depend on partitions, but for rounding.
 
 Counts cover all training documents. A text is read once: each task cuts its documents into chunks of bounded size,
 writes their tokens as numbers local to the chunk, and the chunk's distinct tokens as its dictionary. Dictionaries meet
@@ -23,25 +27,25 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stored, table, texts
 
-CLASSES, WIDTH = 512, 24
-END, OTHER = 0, 1
+WORDS, GROUPS, WIDTH = 16_384, 128, 24
+END, OTHER, FIRST = 0, 1, 2
 SAMPLE, EPOCHS = 500, 3
-BATCH, NOISE, RATIO, RATE = 4096, 32, 8, 0.08
-#: Bytes of text in a chunk, and tokens whose triples are counted together in training.
-CHUNK, BLOCK = 16 << 20, 1 << 20
-#: Weights that are added up in one task.
-FAN = 64
+#: Tokens of a step, noise groups of a step, noise words of a group and step, noise for each token, and learning rate.
+BATCH, NOISE, NOISE_WORDS, RATIO, RATE = 16_384, 32, 16, 8, 0.08
+#: Bytes of text in a chunk, tokens that are scored at once, and scores held at once.
+CHUNK, PIECE, SCORES = 16 << 20, 1 << 17, 1 << 22
+#: Tokens of a block at least, blocks at most, and blocks that are averaged in one task.
+BLOCK_TOKENS, MOST_BLOCKS, FAN = 4_000_000, 4096, 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,66 +56,139 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-class Model:
-    """Weights in one flat array: context vectors, class vectors, two maps, biases."""
+class Words(NamedTuple):
+    """The words' counts, smoothed, in the order of their numbers: end, all others, then by falling count; and their groups."""
+
+    sizes: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray) -> Words:
+        roots = np.cumsum(np.sqrt(sizes[FIRST:]))
+        group = np.minimum((roots / roots[-1] * (GROUPS - 2)).astype(np.int64), GROUPS - 3) if len(roots) else np.zeros(0, np.int64)
+        return cls(sizes, np.concatenate([[0, 1], FIRST + np.flatnonzero(np.diff(group, prepend=-1)), [len(sizes)]]))
+
+    @property
+    def group(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    @property
+    def masses(self) -> np.ndarray:
+        return np.add.reduceat(self.sizes, self.starts[:-1]) / self.sizes.sum()
 
-    SHAPES = ((CLASSES, WIDTH), (CLASSES, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (CLASSES,))
 
-    def __init__(self, flat: np.ndarray):
+class Model:
+    """Weights in one flat array: the words' vectors as context and within their groups, the groups' vectors, two maps, biases
+    of words and groups."""
+
+    def __init__(self, flat: np.ndarray, words: int, groups: int):
         self.flat, self.parts, at = flat, [], 0
-        for shape in self.SHAPES:
+        for shape in self.shapes(words, groups):
             n = int(np.prod(shape))
             self.parts.append(flat[at : at + n].reshape(shape))
             at += n
 
+    @staticmethod
+    def shapes(words: int, groups: int) -> list[tuple[int, ...]]:
+        return [(words, WIDTH), (words, WIDTH), (groups, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (words,), (groups,)]
+
     @classmethod
-    def fresh(cls, shares: np.ndarray) -> Model:
+    def fresh(cls, words: Words) -> Model:
+        n, groups = len(words.sizes), len(words.starts) - 1
         rng = np.random.default_rng(0)
-        model = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES), np.float32))
-        for part in model.parts[:2]:
+        model = cls(np.zeros(sum(int(np.prod(s)) for s in cls.shapes(n, groups)), np.float32), n, groups)
+        for part in model.parts[:3]:
             part[:] = rng.normal(0, 0.1, part.shape)
-        for part in model.parts[2:4]:
+        for part in model.parts[3:5]:
             part[:] = np.eye(WIDTH)
-        model.parts[4][:] = np.log(shares)
+        model.parts[5][:] = np.log(words.sizes / words.sizes.sum() / words.masses[words.group])
+        model.parts[6][:] = np.log(words.masses)
         return model
 
-    def copy(self) -> Model:
-        return Model(self.flat.copy())
-
-    def train(self, triples: np.ndarray, weights: np.ndarray, shares: np.ndarray, seed: int, squares: np.ndarray) -> None:
-        """One pass of stochastic steps. triples: classes two before, one before, and the one to predict."""
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(triples))
-        log_noise = (np.log(shares) + np.log(RATIO)).astype(np.float32)
-        context, own, one, two, bias = self.parts
-        grads = Model(np.zeros_like(self.flat))
-        for start in range(0, len(order), BATCH):
-            rows = order[start : start + BATCH]
-            b, a, w = triples[rows].T
-            share = (weights[rows] / weights[rows].sum()).astype(np.float32)
-            noise = rng.choice(CLASSES, NOISE, p=shares)
-            q = context[a] @ one + context[b] @ two
-            up = share * (1 - _logistic((q * own[w]).sum(1) + bias[w] - log_noise[w]))
-            down = -share[:, None] * (RATIO / NOISE) * _logistic(q @ own[noise].T + bias[noise] - log_noise[noise])
-            to_q = up[:, None] * own[w] + down @ own[noise]
-            grads.flat[:] = 0
-            g_context, g_own, g_one, g_two, g_bias = grads.parts
-            np.add.at(g_own, w, up[:, None] * q)
-            np.add.at(g_own, noise, down.T @ q)
-            np.add.at(g_bias, w, up)
-            np.add.at(g_bias, noise, down.sum(0))
-            np.add.at(g_context, a, to_q @ one.T)
-            np.add.at(g_context, b, to_q @ two.T)
-            g_one += context[a].T @ to_q
-            g_two += context[b].T @ to_q
-            squares += grads.flat**2
-            self.flat += RATE * grads.flat / np.sqrt(squares + 1e-8)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of a class by the class before and by that before it (with the bias), and the log normaliser of both."""
-        context, own, one, two, bias = self.parts
-        first, second = context @ one @ own.T, context @ two @ own.T + bias
-        return first, second, np.stack([_log_sum(first + row) for row in second])
+
+class Trainer:
+    """A model in training. seen: how often each word was a context and a target, and the number of tokens."""
+
+    def __init__(self, words: Words, flat: np.ndarray, squares: np.ndarray, seed: int):
+        n, groups = len(words.sizes), len(words.starts) - 1
+        self.words, self.model, self.squares = words, Model(flat, n, groups), Model(squares, n, groups)
+        self.group, self.masses = words.group, words.masses
+        self.log_noise = (np.log(self.masses) + np.log(RATIO)).astype(np.float32)
+        self.log_within = (np.log(words.sizes / words.sizes.sum() / self.masses[self.group]) + np.log(RATIO)).astype(np.float32)
+        self.ends = np.cumsum(words.sizes)
+        self.rng = np.random.default_rng(seed)
+        self.held: list[np.ndarray] = []
+        self.n_held = 0
+        self.seen = np.zeros((2, n), np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        """The words of a document, the end included."""
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            triples = triples_of(np.concatenate(self.held))
+            for start in range(0, len(triples), BATCH):
+                self.step(triples[start : start + BATCH])
+            self.held, self.n_held = [], 0
+
+    def step(self, triples: np.ndarray) -> None:
+        context, own, of_group, one, two, bias, group_bias = self.model.parts
+        triples = triples[np.argsort(self.group[triples[:, 2]], kind="stable")]
+        b, a, w = triples.T
+        g = self.group[w]
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        before, further = context[a], context[b]
+        q = before @ one + further @ two
+        # groups against groups
+        noise = self.rng.choice(len(self.masses), NOISE, p=self.masses)
+        up = 1 - _logistic((q * of_group[g]).sum(1) + group_bias[g] - self.log_noise[g])
+        down = -(RATIO / NOISE) * _logistic(q @ of_group[noise].T + group_bias[noise] - self.log_noise[noise])
+        to_q = up[:, None] * of_group[g] + down @ of_group[noise]
+        here = np.concatenate([g[first], noise])
+        group_grads = here, np.concatenate([np.add.reduceat(up[:, None] * q, first), down.T @ q])
+        group_bias_grads = here, np.concatenate([np.add.reduceat(up, first), down.sum(0)])
+        # words against words of their group
+        up = 1 - _logistic((q * own[w]).sum(1) + bias[w] - self.log_within[w])
+        up[np.diff(self.words.starts)[g] == 1] = 0
+        ids, grads, sums = [w], [up[:, None] * q], [up]
+        to_q += up[:, None] * own[w]
+        for k, start, end in zip(g[first], first, [*first[1:], len(g)]):
+            lo, hi = self.words.starts[k], self.words.starts[k + 1]
+            if hi - lo == 1:
+                continue
+            mass = self.rng.random(NOISE_WORDS) * (self.ends[hi - 1] - (self.ends[lo - 1] if lo else 0)) + (self.ends[lo - 1] if lo else 0)
+            noise = np.minimum(np.searchsorted(self.ends, mass, side="right"), hi - 1)
+            down = -(RATIO / NOISE_WORDS) * _logistic(q[start:end] @ own[noise].T + bias[noise] - self.log_within[noise])
+            to_q[start:end] += down @ own[noise]
+            ids.append(noise)
+            grads.append(down.T @ q[start:end])
+            sums.append(down.sum(0))
+        of_words = np.concatenate(ids)
+        self._move(1, of_words, np.concatenate(grads))
+        self._move(5, of_words, np.concatenate(sums))
+        self._move(2, *group_grads)
+        self._move(6, *group_bias_grads)
+        self._move(0, np.concatenate([a, b]), np.concatenate([to_q @ one.T, to_q @ two.T]))
+        self._move(3, None, before.T @ to_q)
+        self._move(4, None, further.T @ to_q)
+        self.seen[0] += np.bincount(np.concatenate([a, b]), minlength=len(self.group))
+        self.seen[1] += np.bincount(w, minlength=len(self.group))
+
+    def _move(self, part: int, rows: np.ndarray | None, grads: np.ndarray) -> None:
+        """A step along the gradients, by Adagrad; gradients of the same row are summed first."""
+        if rows is None:
+            at: np.ndarray | slice = slice(None)
+        else:
+            order = np.argsort(rows, kind="stable")
+            first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+            at, grads = rows[order][first], np.add.reduceat(grads[order], first, axis=0)
+        squares = self.squares.parts[part]
+        squares[at] += grads**2
+        self.model.parts[part][at] += RATE * grads / np.sqrt(squares[at] + 1e-8)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -123,22 +200,48 @@ def _log_sum(scores: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(scores - top[:, None]).sum(1))
 
 
-def triples_of(classes: np.ndarray) -> np.ndarray:
+def triples_of(ids: np.ndarray) -> np.ndarray:
     """Contexts and targets of documents in a row; each starts behind two ends."""
-    before = np.concatenate([[END], classes[:-1]])
+    before = np.concatenate([[END], ids[:-1]])
     further = np.concatenate([[END], before[:-1]])
-    return np.stack([np.where(before == END, END, further), before, classes], 1)
-
-
-def counted(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct triples and how often each occurs."""
-    b, a, w = triples_of(classes).T.astype(np.int64)
-    code, n = np.unique((b * CLASSES + a) * CLASSES + w, return_counts=True)
-    return np.stack([code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES], 1), n
+    return np.stack([np.where(before == END, END, further), before, ids], 1)
+
+
+class Scorer:
+    """Log probabilities (natural) of tokens."""
+
+    def __init__(self, words: Words, flat: np.ndarray):
+        self.words, self.group = words, words.group
+        context, self.own, self.of_group, one, two, self.bias, self.group_bias = Model(flat, len(words.sizes), len(words.starts) - 1).parts
+        self.first, self.second = context @ one, context @ two
+
+    def scores(self, triples: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._piece(triples[at : at + PIECE]) for at in range(0, len(triples), PIECE))])
+
+    def _piece(self, triples: np.ndarray) -> np.ndarray:
+        b, a, w = triples.T
+        code, at = np.unique(b.astype(np.int64) << 32 | a, return_inverse=True)
+        q = self.first[code & 0xFFFFFFFF] + self.second[code >> 32]
+        norm = self._norms(q, self.of_group, self.group_bias)
+        g, q = self.group[w], q[at]
+        out = (q * self.of_group[g]).sum(1) + self.group_bias[g] - norm[at]
+        order = np.argsort(g, kind="stable")
+        first = np.flatnonzero(np.diff(g[order], prepend=-1))
+        for start, end in zip(first, [*first[1:], len(order)]):
+            rows = order[start:end]
+            lo, hi = self.words.starts[g[rows[0]]], self.words.starts[g[rows[0]] + 1]
+            if hi - lo > 1:
+                out[rows] += (q[rows] * self.own[w[rows]]).sum(1) + self.bias[w[rows]] - self._norms(q[rows], self.own[lo:hi], self.bias[lo:hi])
+        return out.astype(float)
+
+    @staticmethod
+    def _norms(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        step = max(1, SCORES // len(bias))
+        return np.concatenate([_log_sum(q[i : i + step] @ vectors.T + bias) for i in range(0, len(q), step)])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, held_out, text), read once. Rows of two kinds: a document's token numbers (packed), and a chunk's
+    """docs(doc_id, held_out, place, text), read once. Rows of two kinds: a document's token numbers (packed), and a chunk's
     dictionary with the counts of its training documents."""
     small_batches(docs.sparkSession)
 
@@ -146,9 +249,9 @@ def chunks(docs: DataFrame) -> DataFrame:
         for batch in slices(_joined(batches), most=CHUNK):
             chunk, numbers, counts = uuid.uuid4().int >> 65, {}, []
             rows = []
-            for doc_id, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+            for doc_id, out, place_, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "place", "text"))):
                 ids = np.array([numbers.setdefault(w, len(numbers)) for w in tokens(text)], np.int64)
-                rows.append((doc_id, out, ids))
+                rows.append((doc_id, out, place_, ids))
                 if not out:
                     counts.append(ids)
             counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(numbers))
@@ -157,21 +260,22 @@ def chunks(docs: DataFrame) -> DataFrame:
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             names = list(numbers)
-            packed = [zlib.compress(place[ids].astype("<u4").tobytes(), 1) for _, _, ids in rows]
+            packed = [zlib.compress(place[ids].astype("<u4").tobytes(), 1) for _, _, _, ids in rows]
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk] * (n + 1), pa.int64()),
                     pa.array([*(r[0] for r in rows), None], pa.int64()),
                     pa.array([*(r[1] for r in rows), None], pa.bool_()),
+                    pa.array([*(r[2] for r in rows), None], pa.int64()),
                     pa.array([*packed, None], pa.binary()),
                     pa.array([None] * n + [[names[i] for i in order]], pa.list_(pa.binary())),
                     pa.array([None] * n + [counts[order].tolist()], pa.list_(pa.int64())),
                 ],
-                ["chunk", "doc_id", "held_out", "ids", "tokens", "counts"],
+                ["chunk", "doc_id", "held_out", "place", "ids", "tokens", "counts"],
             )
 
-    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, ids binary, tokens array<binary>, counts array<bigint>")
+    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, place long, ids binary, tokens array<binary>, counts array<bigint>")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,99 +290,145 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
 
 
-def trained(training: DataFrame, frequent: list[bytes], shares: np.ndarray) -> Model:
-    """training(doc_id, text): the model after the start on the driver and one pass of the tasks."""
-    spark = training.sparkSession
-    numbers = {w: i + 2 for i, w in enumerate(frequent)}
+def packed_words(ids: np.ndarray) -> bytes:
+    return zlib.compress(ids.astype("<u2").tobytes(), 1)
 
-    def classes(texts: list[str]) -> np.ndarray:
-        return np.array([c for t in texts for c in (*(numbers.get(w, OTHER) for w in tokens(t)), END)], np.int64)
 
-    model = Model.fresh(shares)
-    start = [r.text for r in training.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE).collect()]
-    if not start:
-        return model
-    squares = np.zeros_like(model.flat)
-    for epoch in range(EPOCHS):
-        model.train(*counted(classes(start)), shares, epoch, squares)
-    first = spark.sparkContext.broadcast((model.flat, squares))  # a fixed size
+def unpacked_words(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
+
+
+def coded(packed: DataFrame, counts: DataFrame, frequent: list[bytes], base: tuple[float, float, float], ends: int) -> DataFrame:
+    """doc_id, held_out, place, n_tokens, n_known, base_score, within (log10 probability of tokens among all others), words
+    (the numbers that the model knows, packed). base: denominator of the base score, that of all others, score of an end."""
+    spark = packed.sparkSession
+    below, rest, end_score = base
+    numbers = spark.createDataFrame([(w, i + FIRST) for i, w in enumerate(frequent)], "token binary, word int")  # WORDS rows at most
+    dictionary = packed.where("tokens is not null").select("chunk", F.posexplode("tokens").alias("number", "token"))
+    known = dictionary.join(counts.join(F.broadcast(numbers), "token", "left"), "token", "left").select(F.col("chunk").alias("own"), "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("word", F.lit(OTHER)).alias("word"))
+
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        n = own.num_rows
+        c, word = np.zeros(n), np.zeros(n, np.int64)
+        at = own.column("number").to_numpy()
+        c[at], word[at] = own.column("c").to_numpy(), own.column("word").to_numpy()
+        by_count = np.log10((c + 0.5) / below)
+        within = np.where(word == OTHER, np.log10((c + 0.5) / rest), 0.0)
+        out: list[list] = [[] for _ in range(5)]
+        for ids in docs.column("ids").to_pylist():
+            ids = np.frombuffer(zlib.decompress(ids), "<u4")
+            row = len(ids) + 1, int((c[ids] > 0).sum()) + int(ends > 0), float(by_count[ids].sum()) + end_score, float(within[ids].sum()), packed_words(np.append(word[ids], END))
+            for column, value in zip(out, row):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        return pa.Table.from_arrays([*(docs.column(k) for k in ("doc_id", "held_out", "place")), *map(pa.array, out, kinds)], ["doc_id", "held_out", "place", "n_tokens", "n_known", "base_score", "within", "words"])
+
+    docs = packed.where("ids is not null").select("chunk", "doc_id", "held_out", "place", "ids")
+    schema = "doc_id long, held_out boolean, place long, n_tokens long, n_known long, base_score double, within double, words binary"
+    return docs.groupBy("chunk").cogroup(known.groupBy("own")).applyInArrow(run, schema)
+
+
+def trained(rows: DataFrame, words: Words, n_docs: int, n_tokens: int) -> np.ndarray:
+    """rows(doc_id, place, words): training documents, n_docs of n_tokens. The weights."""
+    spark = rows.sparkSession
+    model = Model.fresh(words)
+    if not n_docs:
+        return model.flat
+    # the hashes' lower end holds SAMPLE documents and a few more, so that few rows meet in the cut
+    end = int((1 << 64) * min(1.0, (SAMPLE + 10 * SAMPLE**0.5) / n_docs)) - (1 << 63) - 1
+    start = [unpacked_words(r.words) for r in rows.where(F.col("place") <= F.lit(end)).orderBy("place", "doc_id").limit(SAMPLE).select("words").collect()]
+    own = Trainer(words, model.flat, np.zeros_like(model.flat), 0)
+    for _ in range(EPOCHS):
+        for ids in start:
+            own.add(ids)
+        own.flush()
+    first = spark.sparkContext.broadcast((words, model.flat, own.squares.flat))  # of the model's size
+    n_blocks = max(1, min(MOST_BLOCKS, n_tokens // BLOCK_TOKENS))
+    kinds = pa.schema([("block", pa.int64()), ("weights", pa.binary()), ("seen", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, squares = (x.copy() for x in first.value)
-        own, held, n, total = Model(flat), [], 0, 0
-
-        def step() -> None:
-            own.train(*counted(np.concatenate(held)), shares, total, squares)
-            held.clear()
-
-        for batch in slices(batches):
-            held.append(classes(batch.column("text").to_pylist()))
-            n += len(held[-1])
-            if n >= BLOCK:
-                step()
-                total, n = total + n, 0
-        if n:
-            step()
-            total += n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([(own.flat.astype(np.float64) * total).tobytes()], pa.binary()), pa.array([total], pa.int64())], ["weights", "n"])
-
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w) for w in rows["weights"])
-        return pd.DataFrame({"weights": [total.tobytes()], "n": [rows["n"].sum()]})
-
-    sums = stored(training.select("text").mapInArrow(run, "weights binary, n long"), "weights")
-    while (n := sums.count()) > FAN:
-        group = F.pmod(F.xxhash64("weights"), F.lit(-(-n // FAN))).alias("g")
-        sums = stored(sums.select("weights", "n", group).groupBy("g").applyInPandas(added, "weights binary, n long"), "weights")
-    rows = sums.collect()  # FAN of a fixed size at most
-    flat = sum(np.frombuffer(r.weights) for r in rows) / sum(r.n for r in rows)
-    return Model(flat.astype(np.float32))
+        words, flat, squares = first.value
+        own, block = None, None
+
+        def done() -> pa.RecordBatch:
+            own.flush()
+            return pa.RecordBatch.from_pylist([{"block": block, "weights": own.model.flat.tobytes(), "seen": own.seen.tobytes()}], kinds)
+
+        for batch in batches:
+            for k, data in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                if k != block:
+                    if own is not None:
+                        yield done()
+                    own, block = Trainer(words, flat.copy(), squares.copy(), k + 1), k
+                own.add(unpacked_words(data))
+        if own is not None:
+            yield done()
+
+    def averaged(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        flat, seen = average(rows, *first.value[:2])
+        return pa.Table.from_pylist([{"block": rows[0]["block"] // FAN, "weights": flat.tobytes(), "seen": seen.tobytes()}], kinds)
+
+    dealt = rows.select(F.pmod("place", F.lit(n_blocks)).alias("block"), "place", "doc_id", "words").repartitionById(n_blocks, F.col("block").cast("int"))
+    sums = stored(dealt.sortWithinPartitions("block", "place", "doc_id").mapInArrow(run, "block long, weights binary, seen binary"), "weights")
+    n = n_blocks
+    while n > FAN:
+        sums = stored(sums.groupBy(F.floor(F.col("block") / FAN).alias("g")).applyInArrow(averaged, "block long, weights binary, seen binary"), "weights")
+        n = -(-n // FAN)
+    return average(sorted(sums.toArrow().to_pylist(), key=lambda r: r["block"]), words, model.flat)[0]  # FAN models at most
+
+
+def average(rows: list[dict], words: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the models' weights, each word's by how often it was seen (where never: the start), the rest by tokens."""
+    n, groups = len(words.sizes), len(words.starts) - 1
+    total = Model(np.zeros(len(start)), n, groups)
+    seen = np.zeros((2, n), np.int64)
+    for r in rows:
+        own, k = Model(np.frombuffer(r["weights"], np.float32), n, groups), np.frombuffer(r["seen"], np.int64).reshape(2, n)
+        by = [k[0][:, None], k[1][:, None], k[1].sum(), k[1].sum(), k[1].sum(), k[1], k[1].sum()]
+        for t, o, x in zip(total.parts, own.parts, by):
+            t += o * x
+        seen += k
+    by = [seen[0][:, None], seen[1][:, None], seen[1].sum(), seen[1].sum(), seen[1].sum(), seen[1], seen[1].sum()]
+    for t, s, x in zip(total.parts, Model(start, n, groups).parts, by):
+        t[:] = np.where(x > 0, t / np.maximum(x, 1), s)
+    return total.flat.astype(np.float32), seen
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
-    rows = texts(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    rows = texts(docs).select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.xxhash64(doc_id, "text").alias("place"), "text")
     packed = stored(chunks(rows), "chunks")
-    words = packed.where("tokens is not null").select("chunk", F.posexplode(F.arrays_zip("tokens", "counts")).alias("number", "x")).select("chunk", "number", F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"))
-    counts = stored(words.where("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "counts")
+    own = packed.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"))
+    counts = stored(own.where("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).first()
     ends = packed.where("ids is not null and not held_out").count()
-    top = counts.orderBy(F.col("c").desc(), "token").limit(CLASSES - 2).collect()
+    top = counts.orderBy(F.col("c").desc(), "token").limit(WORDS).toArrow()  # a fixed number of rows
     # the end is a token as well, counted once a training document
     v, n = total.v + (ends > 0), (total.c or 0) + ends
-    n_top, c_top = len(top), sum(r.c for r in top)
-    sizes = np.array([ends, n - ends - c_top, *(r.c for r in top), *[0] * (CLASSES - 2 - n_top)], float) + 0.5
-    shares = sizes / sizes.sum()
-    model = trained(rows.where("not held_out").select("doc_id", "text"), [bytes(r.token) for r in top], shares)
-    tables = spark.sparkContext.broadcast(model.tables())  # three tables of CLASSES squared
+    c_top = np.array(top.column("c").to_pylist(), float)
+    words = Words.of(np.concatenate([[ends, n - ends - c_top.sum()], c_top]) + 0.5)
     below = n + 0.5 * (v + 1)
-    rest = (n - ends - c_top) + 0.5 * (v - (ends > 0) - n_top + 1)
-    end_score = float(np.log10((ends + 0.5) / below))
-    frequent = spark.createDataFrame([(bytes(r.token), i + 2) for i, r in enumerate(top)], "token binary, class int")
-    known = words.select("chunk", "number", "token").join(counts.join(F.broadcast(frequent), "token", "left"), "token", "left").select(F.col("chunk").alias("own"), "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(OTHER)).alias("class"))
+    rest = (n - ends - c_top.sum()) + 0.5 * (v - (ends > 0) - len(c_top) + 1)
+    all_rows = stored(coded(packed, counts, top.column("token").to_pylist(), (below, rest, float(np.log10((ends + 0.5) / below))), ends), "coded")
+    flat = trained(all_rows.where("not held_out"), words, ends, n)
+    shared = spark.sparkContext.broadcast((words, flat))  # of the model's size
 
-    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
-        first, second, norm = tables.value
-        n_words = own.num_rows
-        c, kind = np.zeros(n_words), np.zeros(n_words, np.int64)
-        at = own.column("number").to_numpy()
-        c[at], kind[at] = own.column("c").to_numpy(), own.column("class").to_numpy()
-        base = np.log10((c + 0.5) / below)
-        within = np.where(kind == OTHER, np.log10((c + 0.5) / rest), 0.0)
-        out: list[tuple] = []
-        for doc_id, held, ids in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "held_out", "ids"))):
-            ids = np.frombuffer(zlib.decompress(ids), "<u4")
-            b, a, w = triples_of(np.append(kind[ids], END)).T
-            by_class = (first[a, w] + second[b, w] - norm[b, a]).sum(dtype=float) / np.log(10)
-            out.append((doc_id, held, len(ids) + 1, int((c[ids] > 0).sum()) + int(ends > 0), n, float(base[ids].sum()) + end_score, float(by_class + within[ids].sum())))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
-
-    docs_ = packed.where("ids is not null").select("chunk", "doc_id", "held_out", "ids")
-    return docs_.groupBy("chunk").cogroup(known.groupBy("own")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            ids = [unpacked_words(x) for x in batch.column("words").to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)])
+            by_word = scorer.scores(triples_of(np.concatenate([np.zeros(0, np.int64), *ids])))
+            score = np.add.reduceat(by_word, ends[:-1]) / np.log(10) if len(ids) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array([n] * len(ids), pa.int64()), batch.column("base_score"), pa.array(score + batch.column("within").to_numpy())],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return all_rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
