@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stored, table, texts
 
-WORDS, GROUPS, WIDTH = 16_384, 128, 24
+WORDS, GROUPS, WIDTH = 16_384, 128, 20
 END, OTHER, FIRST = 0, 1, 2
 SAMPLE, EPOCHS = 500, 3
 #: Tokens of a step, noise groups of a step, noise words of a group and step, noise for each token, and learning rate.
-BATCH, NOISE, NOISE_WORDS, RATIO, RATE = 16_384, 32, 16, 8, 0.08
+BATCH, NOISE, NOISE_WORDS, RATIO, RATE = 32_768, 24, 12, 8, 0.08
 #: Bytes of text in a chunk, tokens that are scored at once, and scores held at once.
 CHUNK, PIECE, SCORES = 16 << 20, 1 << 17, 1 << 22
 #: Tokens of a block at least, blocks at most, and blocks that are averaged in one task.
@@ -78,8 +78,8 @@ class Words(NamedTuple):
 
 
 class Model:
-    """Weights in one flat array: the words' vectors as context and within their groups, the groups' vectors, two maps, biases
-    of words and groups."""
+    """Weights in one flat array: the words' vectors as context, their vectors and biases within their groups, those of the
+    groups, two maps."""
 
     def __init__(self, flat: np.ndarray, words: int, groups: int):
         self.flat, self.parts, at = flat, [], 0
@@ -90,7 +90,7 @@ class Model:
 
     @staticmethod
     def shapes(words: int, groups: int) -> list[tuple[int, ...]]:
-        return [(words, WIDTH), (words, WIDTH), (groups, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (words,), (groups,)]
+        return [(words, WIDTH), (words, WIDTH + 1), (groups, WIDTH + 1), (WIDTH, WIDTH), (WIDTH, WIDTH)]
 
     @classmethod
     def fresh(cls, words: Words) -> Model:
@@ -99,23 +99,25 @@ class Model:
         model = cls(np.zeros(sum(int(np.prod(s)) for s in cls.shapes(n, groups)), np.float32), n, groups)
         for part in model.parts[:3]:
             part[:] = rng.normal(0, 0.1, part.shape)
-        for part in model.parts[3:5]:
+        for part in model.parts[3:]:
             part[:] = np.eye(WIDTH)
-        model.parts[5][:] = np.log(words.sizes / words.sizes.sum() / words.masses[words.group])
-        model.parts[6][:] = np.log(words.masses)
+        model.parts[1][:, -1] = np.log(words.sizes / words.sizes.sum() / words.masses[words.group])
+        model.parts[2][:, -1] = np.log(words.masses)
         return model
 
 
 class Trainer:
-    """A model in training. seen: how often each word was a context and a target, and the number of tokens."""
+    """A model in training. seen: how often each word was a context and a target."""
 
     def __init__(self, words: Words, flat: np.ndarray, squares: np.ndarray, seed: int):
         n, groups = len(words.sizes), len(words.starts) - 1
-        self.words, self.model, self.squares = words, Model(flat, n, groups), Model(squares, n, groups)
-        self.group, self.masses = words.group, words.masses
+        self.model, self.squares = Model(flat, n, groups), Model(squares, n, groups)
+        # small types are sorted by radix
+        self.group, self.starts, self.masses = words.group.astype(np.uint8), words.starts.tolist(), words.masses
+        self.alone = np.diff(words.starts) == 1
         self.log_noise = (np.log(self.masses) + np.log(RATIO)).astype(np.float32)
-        self.log_within = (np.log(words.sizes / words.sizes.sum() / self.masses[self.group]) + np.log(RATIO)).astype(np.float32)
-        self.ends = np.cumsum(words.sizes)
+        self.log_within = (np.log(words.sizes / words.sizes.sum() / self.masses[words.group]) + np.log(RATIO)).astype(np.float32)
+        self.ends = np.concatenate([[0], np.cumsum(words.sizes)])
         self.rng = np.random.default_rng(seed)
         self.held: list[np.ndarray] = []
         self.n_held = 0
@@ -123,60 +125,65 @@ class Trainer:
 
     def add(self, ids: np.ndarray) -> None:
         """The words of a document, the end included."""
-        self.held.append(ids)
+        self.held.append(triples_of(ids))
         self.n_held += len(ids)
         if self.n_held >= BATCH:
-            self.flush()
+            triples = np.concatenate(self.held, 1)
+            whole = self.n_held // BATCH * BATCH
+            for start in range(0, whole, BATCH):
+                self.step(*triples[:, start : start + BATCH])
+            self.held, self.n_held = [triples[:, whole:]], self.n_held - whole
 
     def flush(self) -> None:
-        if self.held:
-            triples = triples_of(np.concatenate(self.held))
-            for start in range(0, len(triples), BATCH):
-                self.step(triples[start : start + BATCH])
-            self.held, self.n_held = [], 0
-
-    def step(self, triples: np.ndarray) -> None:
-        context, own, of_group, one, two, bias, group_bias = self.model.parts
-        triples = triples[np.argsort(self.group[triples[:, 2]], kind="stable")]
-        b, a, w = triples.T
+        if self.n_held:
+            self.step(*np.concatenate(self.held, 1))
+        self.held, self.n_held = [], 0
+
+    def step(self, b: np.ndarray, a: np.ndarray, w: np.ndarray) -> None:
+        """A step on tokens w with the words before them (a) and before these (b)."""
+        context, own, of_group, one, two = self.model.parts
+        order = np.argsort(self.group[w], kind="stable")
+        b, a, w = b[order], a[order], w[order]
         g = self.group[w]
-        first = np.flatnonzero(np.diff(g, prepend=-1))
+        first = _starts(g)
         before, further = context[a], context[b]
-        q = before @ one + further @ two
+        q = np.ones((len(w), WIDTH + 1), np.float32)
+        q[:, :-1] = before @ one
+        q[:, :-1] += further @ two
         # groups against groups
         noise = self.rng.choice(len(self.masses), NOISE, p=self.masses)
-        up = 1 - _logistic((q * of_group[g]).sum(1) + group_bias[g] - self.log_noise[g])
-        down = -(RATIO / NOISE) * _logistic(q @ of_group[noise].T + group_bias[noise] - self.log_noise[noise])
-        to_q = up[:, None] * of_group[g] + down @ of_group[noise]
-        here = np.concatenate([g[first], noise])
-        group_grads = here, np.concatenate([np.add.reduceat(up[:, None] * q, first), down.T @ q])
-        group_bias_grads = here, np.concatenate([np.add.reduceat(up, first), down.sum(0)])
+        mine, others = of_group[g], of_group[noise]
+        up = 1 - _logistic(np.einsum("ij,ij->i", q, mine) - self.log_noise[g])
+        down = _logistic(q @ others.T - self.log_noise[noise]) * np.float32(-RATIO / NOISE)
+        to_q = up[:, None] * mine
+        to_q += down @ others
+        of_groups = np.concatenate([g[first], noise]).astype(np.uint8), np.concatenate([np.add.reduceat(up[:, None] * q, first), down.T @ q])
         # words against words of their group
-        up = 1 - _logistic((q * own[w]).sum(1) + bias[w] - self.log_within[w])
-        up[np.diff(self.words.starts)[g] == 1] = 0
-        ids, grads, sums = [w], [up[:, None] * q], [up]
-        to_q += up[:, None] * own[w]
-        for k, start, end in zip(g[first], first, [*first[1:], len(g)]):
-            lo, hi = self.words.starts[k], self.words.starts[k + 1]
-            if hi - lo == 1:
+        mine = own[w]
+        up = 1 - _logistic(np.einsum("ij,ij->i", q, mine) - self.log_within[w])
+        up[self.alone[g]] = 0
+        to_q += up[:, None] * mine
+        ids, grads = [w], [up[:, None] * q]
+        for k, start, end in zip(g[first].tolist(), first.tolist(), [*first[1:].tolist(), len(g)]):
+            if self.alone[k]:
                 continue
-            mass = self.rng.random(NOISE_WORDS) * (self.ends[hi - 1] - (self.ends[lo - 1] if lo else 0)) + (self.ends[lo - 1] if lo else 0)
-            noise = np.minimum(np.searchsorted(self.ends, mass, side="right"), hi - 1)
-            down = -(RATIO / NOISE_WORDS) * _logistic(q[start:end] @ own[noise].T + bias[noise] - self.log_within[noise])
-            to_q[start:end] += down @ own[noise]
+            lo, hi = self.starts[k], self.starts[k + 1]
+            mass = self.ends[lo] + self.rng.random(NOISE_WORDS) * (self.ends[hi] - self.ends[lo])
+            noise = np.minimum(np.searchsorted(self.ends, mass, side="right") - 1, hi - 1)
+            others, here = own[noise], q[start:end]
+            down = _logistic(here @ others.T - self.log_within[noise]) * np.float32(-RATIO / NOISE_WORDS)
+            to_q[start:end] += down @ others
             ids.append(noise)
-            grads.append(down.T @ q[start:end])
-            sums.append(down.sum(0))
-        of_words = np.concatenate(ids)
-        self._move(1, of_words, np.concatenate(grads))
-        self._move(5, of_words, np.concatenate(sums))
-        self._move(2, *group_grads)
-        self._move(6, *group_bias_grads)
+            grads.append(down.T @ here)
+        self._move(1, np.concatenate(ids).astype(np.uint16), np.concatenate(grads))
+        self._move(2, *of_groups)
+        to_q = to_q[:, :-1]
         self._move(0, np.concatenate([a, b]), np.concatenate([to_q @ one.T, to_q @ two.T]))
         self._move(3, None, before.T @ to_q)
         self._move(4, None, further.T @ to_q)
-        self.seen[0] += np.bincount(np.concatenate([a, b]), minlength=len(self.group))
-        self.seen[1] += np.bincount(w, minlength=len(self.group))
+        n = len(self.group)
+        self.seen[0] += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        self.seen[1] += np.bincount(w, minlength=n)
 
     def _move(self, part: int, rows: np.ndarray | None, grads: np.ndarray) -> None:
         """A step along the gradients, by Adagrad; gradients of the same row are summed first."""
@@ -184,60 +191,76 @@ class Trainer:
             at: np.ndarray | slice = slice(None)
         else:
             order = np.argsort(rows, kind="stable")
-            first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-            at, grads = rows[order][first], np.add.reduceat(grads[order], first, axis=0)
-        squares = self.squares.parts[part]
-        squares[at] += grads**2
-        self.model.parts[part][at] += RATE * grads / np.sqrt(squares[at] + 1e-8)
+            rows = rows[order]
+            first = _starts(rows)
+            at, grads = rows[first], np.add.reduceat(grads[order], first, axis=0)
+        squares = self.squares.parts[part][at] + grads**2
+        self.squares.parts[part][at] = squares
+        self.model.parts[part][at] += np.float32(RATE) * grads / np.sqrt(squares + np.float32(1e-8))
 
 
-def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _starts(values: np.ndarray) -> np.ndarray:
+    """The places where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(1))
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def triples_of(ids: np.ndarray) -> np.ndarray:
-    """Contexts and targets of documents in a row; each starts behind two ends."""
+    """Three rows: the words two before and one before each word, and the word. Documents may stand in a row; each starts
+    behind two ends."""
     before = np.concatenate([[END], ids[:-1]])
     further = np.concatenate([[END], before[:-1]])
-    return np.stack([np.where(before == END, END, further), before, ids], 1)
+    return np.stack([np.where(before == END, END, further), before, ids]).astype(np.uint16)
 
 
 class Scorer:
     """Log probabilities (natural) of tokens."""
 
     def __init__(self, words: Words, flat: np.ndarray):
-        self.words, self.group = words, words.group
-        context, self.own, self.of_group, one, two, self.bias, self.group_bias = Model(flat, len(words.sizes), len(words.starts) - 1).parts
+        self.starts, self.group = words.starts, words.group.astype(np.uint8)
+        context, self.own, self.of_group, one, two = Model(flat, len(words.sizes), len(words.starts) - 1).parts
         self.first, self.second = context @ one, context @ two
 
     def scores(self, triples: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(self._piece(triples[at : at + PIECE]) for at in range(0, len(triples), PIECE))])
-
-    def _piece(self, triples: np.ndarray) -> np.ndarray:
-        b, a, w = triples.T
-        code, at = np.unique(b.astype(np.int64) << 32 | a, return_inverse=True)
-        q = self.first[code & 0xFFFFFFFF] + self.second[code >> 32]
-        norm = self._norms(q, self.of_group, self.group_bias)
+        return np.concatenate([np.zeros(0), *(self._piece(*triples[:, at : at + PIECE]) for at in range(0, triples.shape[1], PIECE))])
+
+    def _piece(self, b: np.ndarray, a: np.ndarray, w: np.ndarray) -> np.ndarray:
+        code, at = np.unique(b.astype(np.int64) << 16 | a, return_inverse=True)
+        q = np.ones((len(code), WIDTH + 1), np.float32)
+        q[:, :-1] = self.first[code & 0xFFFF] + self.second[code >> 16]
+        norm = self._norms(q, self.of_group)
+        order = np.argsort(self.group[w], kind="stable")
+        at, w = at[order], w[order]
         g, q = self.group[w], q[at]
-        out = (q * self.of_group[g]).sum(1) + self.group_bias[g] - norm[at]
-        order = np.argsort(g, kind="stable")
-        first = np.flatnonzero(np.diff(g[order], prepend=-1))
-        for start, end in zip(first, [*first[1:], len(order)]):
-            rows = order[start:end]
-            lo, hi = self.words.starts[g[rows[0]]], self.words.starts[g[rows[0]] + 1]
+        out = np.einsum("ij,ij->i", q, self.of_group[g]) - norm[at]
+        within = np.einsum("ij,ij->i", q, self.own[w])
+        first = _starts(g)
+        for start, end in zip(first, [*first[1:], len(g)]):
+            lo, hi = self.starts[g[start]], self.starts[g[start] + 1]
             if hi - lo > 1:
-                out[rows] += (q[rows] * self.own[w[rows]]).sum(1) + self.bias[w[rows]] - self._norms(q[rows], self.own[lo:hi], self.bias[lo:hi])
-        return out.astype(float)
+                out[start:end] += within[start:end] - self._norms(q[start:end], self.own[lo:hi])
+        scores = np.empty(len(w))
+        scores[order] = out
+        return scores
 
     @staticmethod
-    def _norms(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        step = max(1, SCORES // len(bias))
-        return np.concatenate([_log_sum(q[i : i + step] @ vectors.T + bias) for i in range(0, len(q), step)])
+    def _norms(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        step = max(1, SCORES // len(vectors))
+        return np.concatenate([_log_sum(q[i : i + step] @ vectors.T) for i in range(0, len(q), step)])
+
+
+def _log_sum(scores: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials."""
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(scores).sum(1))
+    odd = np.flatnonzero(~np.isfinite(out))
+    if len(odd):
+        top = scores[odd].max(1)
+        out[odd] = top + np.log(np.exp(scores[odd] - top[:, None]).sum(1))
+    return out
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -385,11 +408,11 @@ def average(rows: list[dict], words: Words, start: np.ndarray) -> tuple[np.ndarr
     seen = np.zeros((2, n), np.int64)
     for r in rows:
         own, k = Model(np.frombuffer(r["weights"], np.float32), n, groups), np.frombuffer(r["seen"], np.int64).reshape(2, n)
-        by = [k[0][:, None], k[1][:, None], k[1].sum(), k[1].sum(), k[1].sum(), k[1], k[1].sum()]
+        by = [k[0][:, None], k[1][:, None], *[k[1].sum()] * 3]
         for t, o, x in zip(total.parts, own.parts, by):
             t += o * x
         seen += k
-    by = [seen[0][:, None], seen[1][:, None], seen[1].sum(), seen[1].sum(), seen[1].sum(), seen[1], seen[1].sum()]
+    by = [seen[0][:, None], seen[1][:, None], *[seen[1].sum()] * 3]
     for t, s, x in zip(total.parts, Model(start, n, groups).parts, by):
         t[:] = np.where(x > 0, t / np.maximum(x, 1), s)
     return total.flat.astype(np.float32), seen

@@ -40,12 +40,12 @@ def test_lm_groups_cover_all_words():
 
 
 def slow_log_probability(words, model, b, a, w):
-    context, own, of_group, one, two, bias, group_bias = (x.astype(float) for x in model.parts)
-    q = context[a] @ one + context[b] @ two
+    context, own, of_group, one, two = (x.astype(float) for x in model.parts)
+    q = np.append(context[a] @ one + context[b] @ two, 1)
     g = words.group[w]
     within = np.flatnonzero(words.group == g)
     soft = lambda x: x - np.log(np.exp(x).sum())
-    return soft(of_group @ q + group_bias)[g] + soft(own[within] @ q + bias[within])[w - within[0]]
+    return soft(of_group @ q)[g] + soft(own[within] @ q)[w - within[0]]
 
 
 def test_lm_scores_equal_direct_sums_and_are_normalised(monkeypatch):
@@ -53,11 +53,11 @@ def test_lm_scores_equal_direct_sums_and_are_normalised(monkeypatch):
     scorer = lm.Scorer(words, model.flat)
     n = len(words.sizes)
     for b, a in ((0, 0), (5, 9), (299, 1)):
-        every = scorer.scores(np.array([(b, a, w) for w in range(n)]))
+        every = scorer.scores(np.array([(b, a, w) for w in range(n)], np.uint16).T)
         assert math.isclose(np.exp(every).sum(), 1, rel_tol=1e-4)
     ids = np.random.default_rng(3).integers(0, n, 400)
     triples = lm.triples_of(np.append(ids, lm.END))
-    want = [slow_log_probability(words, model, *t) for t in triples]
+    want = [slow_log_probability(words, model, *t) for t in triples.T]
     assert np.allclose(scorer.scores(triples), want, atol=1e-4)
     monkeypatch.setattr(lm, "PIECE", 37)
     monkeypatch.setattr(lm, "SCORES", 500)
