@@ -25,6 +25,7 @@ toxic rows (0 without any); empty tables give empty results; other columns are n
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -85,21 +86,47 @@ def worded(docs: DataFrame) -> DataFrame:
 
 
 def vectors(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
-    """docs(doc_id, held_out, text): doc_id, held_out, ids and counts of the words of the vocabulary that the text has."""
+    """docs(doc_id, held_out, text): doc_id, held_out, and the packed ids and counts of the words of the vocabulary that the text has."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the words of at most 2 * EXAMPLES texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(shared.value.to_pylist())}
         for batch in slices(batches):
-            ids, counts = [], []
+            packed = []
             for text in batch.column("text").to_pylist():
-                found = words(text)
-                known = sorted((place[w], n) for w, n in found.items() if w in place)
-                ids.append([i for i, _ in known])
-                counts.append([n for _, n in known])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "held_out", "ids", "counts"])
+                known = sorted((place[w], n) for w, n in words(text).items() if w in place)
+                packed.append(pack(np.array([i for i, _ in known], np.int64), np.array([n for _, n in known], np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(packed, pa.binary())], ["doc_id", "held_out", "vector"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, ids array<int>, counts array<int>")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, vector binary")
+
+
+def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), counts]).astype("<u4").tobytes(), 1)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends (from 0), ids and counts of packed rows."""
+    rows = [np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64).reshape(2, -1) for x in column.to_pylist()]
+    ends = np.cumsum([0, *(r.shape[1] for r in rows)])
+    ids, counts = np.concatenate([np.zeros((2, 0), np.int64), *((np.cumsum(r[0]), r[1]) for r in rows)], 1)
+    return ends, ids, counts
+
+
+def frequencies(sparse: DataFrame, n_words: int) -> np.ndarray:
+    """In how many rows of vectors each word occurs; each task sums its own rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_words, np.int64)
+        for batch in batches:
+            total += np.bincount(unpacked(batch.column("vector"))[1], minlength=n_words)
+        words = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(total[words])], ["word", "n"])
+
+    sums = sparse.select("vector").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_words)
+    df[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
+    return df
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -238,9 +265,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = pc.index_in(pa.array(terms, pa.string()), vocabulary).to_numpy().astype(np.int64)
     sparse = stored(vectors(rows, vocabulary), "vectors")
     n_docs = sparse.count()
-    of = sparse.select(F.explode("ids").alias("f")).groupBy("f").count().toArrow()  # a row for each word of the examples at most
-    df = np.ones(len(vocabulary))
-    df[of.column("f").to_numpy()] = of.column("count").to_numpy()
+    df = np.maximum(frequencies(sparse, len(vocabulary)), 1)
     row = np.repeat(toxic, np.diff(ends))
     share = lambda kind: np.bincount(ids[row == kind], minlength=len(df)) / (toxic == kind).sum() + SMOOTH
     index = Index(ends, ids, _lists(found.column("counts"))[1].astype(float), found.column("doc_id").to_numpy(), toxic, np.log((n_docs + 1) / df) * np.log2(2 + share(1) / share(0)) ** 2)
@@ -257,7 +282,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                (ends, ids), (_, counts) = _lists(batch.column("ids")), _lists(batch.column("counts"))
+                ends, ids, counts = unpacked(batch.column("vector"))
                 near = index.nearest(ends, ids, index.weighted(ends, ids, counts.astype(float)))
                 score = [float(1 / (1 + np.exp(-(a * odds(index.vote(*x, of_class)) + b)))) if len(x[0]) else prior for x in near]
                 yield pa.RecordBatch.from_arrays(
