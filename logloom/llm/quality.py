@@ -35,7 +35,7 @@ FEATURES = ("word_length", "symbols", "marks", "capitals", "variety")
 #: Least standard deviation of each feature, in its own unit.
 FLOOR = (0.06, 0.04, 0.06, 0.08, 0.12)
 #: Width of a grid cell in each feature, the first cell, and how many there are; what lies beyond is in the last one.
-STEP, FIRST, SPAN = (0.08, 0.06, 0.06, 0.08, 0.12), (15, 0, 0, 0, 0), 10
+STEP, FIRST, SPAN = (0.08, 0.06, 0.06, 0.08, 0.12), (10, 0, 0, 0, -4), 18
 GRID = SPAN ** len(FEATURES)
 #: Squared distance beyond which a document goes: chi-squared with 5 degrees of freedom passes it once in 10^9 times.
 CUT = 51.0
@@ -212,17 +212,18 @@ def _verdict() -> Column:
     return ~F.col("m.base_failed") & F.coalesce(far <= CUT, F.lit(True))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), m (the statistics) and kept, for every row."""
+def judged(docs: DataFrame, *keep: str) -> DataFrame:
+    """row (the columns of docs that are named, or all), m (the statistics) and kept, for every row. Texts are measured once:
+    rows and statistics are written before the estimates are made."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"))
-    key = lambda c: F.col(f"row.{c}").cast("string").alias(c)
-    measured = rows.select("row", key("lang"), key("source"), _measured("row.text").alias("m"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row")
+    key = lambda c: F.col(c).cast("string").alias(c)
+    measured = stored(docs.select(row, key("lang"), key("source"), _measured("text").alias("m")), "measured")
     fits = estimates(measured.select("lang", "source", "m")).alias("e")
     joined = measured.alias("d").join(fits, F.expr("d.lang <=> e.lang and d.source <=> e.source"), "left")
     return joined.select("row", "m", _verdict().alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = judged(table(spark, sf_dir, "documents"), "doc_id")
     return out.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"m.{c}").alias(c) for c in COUNTS), F.col("m.base_failed").alias("base_failed"), "kept")

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from logloom.llm import quality as Q
 
@@ -40,6 +41,38 @@ def test_verdict_leaves_clean_rows_and_takes_outliers(spark):
     assert all(out[r[0]] for r in rows) and not any(out[r[0]] for r in bad)
 
 
+def cells_of(rows, grid):
+    """The rows' cells, or a cell for each row."""
+    key = np.floor(rows / Q.STEP).astype(int) if grid else np.arange(len(rows))[:, None] * np.ones((1, 5), int)
+    frame = pd.DataFrame(key, columns=[f"c{i}" for i in range(5)]).assign(n=1, **{f"s{i}": rows[:, i] for i in range(5)}, **{f"p{i}{j}": rows[:, i] * rows[:, j] for i in range(5) for j in range(i + 1)})
+    return frame.groupby([f"c{i}" for i in range(5)], as_index=False).sum()
+
+
+def test_estimates_on_cells_agree_with_estimates_on_rows():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        spread = rng.normal(0, 0.12, (5, 5)) + np.diag([0.15, 0.1, 0.1, 0.15, 0.2])
+        clean = rng.normal(0, 1, (1500, 5)) @ spread + rng.uniform(0.4, 1.5, 5)
+        bad = rng.normal(0, 0.1, (300, 5)) + clean.mean(0) + rng.choice([-3, 3], 5) * np.abs(spread).sum(0)
+        rows = np.concatenate([clean, bad])
+        verdicts = []
+        for grid in (True, False):
+            mean, cov = Q.determinant_estimate(cells_of(rows, grid))
+            verdicts.append(Q._distances(rows, mean, cov) <= Q.CUT)
+            assert np.abs(mean - clean.mean(0)).max() < 0.1
+        assert (verdicts[0] != verdicts[1]).mean() < 0.005
+        assert verdicts[0][:1500].mean() > 0.99 and verdicts[0][1500:].mean() < 0.05
+
+
+def test_odd_rows(spark):
+    text = "The quick words of a plain text that goes on for a good while, until there are more than twenty of them in it."
+    long = " ".join(f"{w}{i}" for i in range(6000) for w in ("some", "words", "of"))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, long, "en", "s", 2), (None, text, None, None, 3)], "doc_id long, text string, lang string, source string, mean int")
+    rows = Q.judged(docs).collect()
+    assert len(rows) == 4 and all(r.kept for r in rows) and sorted(r.row["mean"] for r in rows) == [1, 1, 2, 3]
+    assert [r.m.n_words for r in rows if r.row.doc_id == 2] == [18000]
+
+
 def test_defined_results(spark):
     docs = spark.createDataFrame([(1, None, None, None, "m"), (None, "w " * 50, "en", "s", None)], "doc_id long, text string, lang string, source string, m string")
     out = Q.judged(docs).select("row.doc_id", "row.m", "kept").collect()
