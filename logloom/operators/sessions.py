@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import collapse_space, head_tail, preview, strip
 from ..functions.redaction import redact
+from ..sources.storage import stored
 
+# Fixed values.
 NO_GOAL = "(no task text found)"
 TARGET_KEYS = ("file_path", "path", "pattern", "command", "url", "query", "notebook_path")
 
@@ -60,14 +62,29 @@ def target_of(payload: str) -> Column:
     return F.coalesce(*(strip(F.expr(string(k))) for k in TARGET_KEYS), F.left(F.expr(f"to_json({payload})"), F.lit(200)))
 
 
+def narration(is_text: Column, body: Column, over) -> Column:
+    """The last text of the assistant in the frame; the empty text before the first."""
+    return F.coalesce(F.last(F.when(is_text, body), ignorenulls=True).over(over), F.lit(""))
+
+
+def texts_before(is_text: Column, over) -> Column:
+    """How many texts of the assistant are in the frame."""
+    return F.coalesce(F.count_if(is_text).over(over), F.lit(0))
+
+
+def next_text(is_text: Column, body: Column, order) -> Column:
+    """The next text of the assistant behind a row; null where none follows."""
+    return F.first(F.when(is_text, body), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+
+
 def calls(rows: DataFrame) -> DataFrame:
     """The calls that have a result: session_id, call_pos (dense), call_index (over all calls), id, tool, input_json, target,
     result, is_error, text_index, ts, narration."""
     is_text = (F.col("speaker") == "assistant") & (F.col("kind") == "text")
     running = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({
-        "text_index": F.count_if(is_text).over(running).cast("int"),
-        "narration": F.coalesce(F.last(F.when(is_text, F.col("body")), ignorenulls=True).over(running), F.lit("")),
+        "text_index": texts_before(is_text, running).cast("int"),
+        "narration": narration(is_text, F.col("body"), running),
     })
     used = rows.where("speaker = 'assistant' and kind = 'tool_use'").withColumn("call_index", F.row_number().over(_order()) - 1)
     payload = F.when(F.col("input").isNull() | F.expr("is_variant_null(input)"), F.parse_json(F.lit("{}"))).otherwise(F.col("input"))
@@ -120,11 +137,48 @@ def raw_fields() -> Column:
     return F.struct("goal", F.left("narration", F.lit(600)).alias("said"), F.left("input_json", F.lit(3000)).alias("input"), result.alias("result"))
 
 
-def decision_points(calls: DataFrame, k: int) -> DataFrame:
-    """Each call with the k-th call after it (now_pos, now_text_index), where at least one more follows that."""
+def decision_points(calls: DataFrame, k: int, *more: str) -> DataFrame:
+    """Each call with the k-th call after it (now_pos, and now_ for each column named), where at least one more follows."""
     w = Window.partitionBy("session_id").orderBy("call_pos")
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    return calls.withColumns({"now_pos": F.lead("call_pos", k).over(w), "now_text_index": F.lead("text_index", k).over(w), "n": n}).where(F.col("now_pos") < F.col("n") - 1).drop("n")
+    now = {f"now_{c}": F.lead(c, k).over(w) for c in more}
+    return calls.withColumns({"now_pos": F.lead("call_pos", k).over(w), **now, "further": F.lead("call_pos", k + 1).over(w)}).where("further is not null").drop("further")
+
+
+def call_query(calls: DataFrame) -> DataFrame:
+    """session_id, call_pos, query: what is known of a call when it is made, its description or else its file, and the
+    narration's first 300 characters, in one line."""
+    field = lambda k: F.get_json_object("input_json", f"$.{k}")
+    what = F.coalesce(field("description"), field("file_path"), F.lit(""))
+    said = F.left(collapse_space(F.col("narration")), F.lit(300))
+    return calls.select("session_id", "call_pos", collapse_space(F.concat(what, F.lit(". "), said)).alias("query"))
+
+
+def next_message(calls: DataFrame, texts: DataFrame) -> DataFrame:
+    """session_id, call_pos, message: the assistant's text right after the call (1000 characters in one line), or else the
+    query of the call."""
+    later = texts.select("session_id", "text_index", F.left(collapse_space(F.col("body")), F.lit(1000)).alias("message"))
+    rows = calls.select("session_id", "call_pos", "text_index").join(later, ["session_id", "text_index"], "left").join(call_query(calls), ["session_id", "call_pos"])
+    return rows.select("session_id", "call_pos", F.coalesce("message", "query").alias("message"))
+
+
+def strings_of(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """key, path, value of every string in a JSON document, at any depth (a.b, c[0]; ? for a bare string), by levels: each
+    level's containers are opened in an explode. What is no JSON gives no row."""
+    spark = rows.sparkSession
+    level = rows.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(document).alias("v"))
+    out = None
+    while True:
+        kind = F.schema_of_variant("v")
+        level = stored(level.select(key, "path", kind.alias("kind"), F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).alias("value"), F.to_json("v").alias("json")), "level")
+        leaves = level.where("kind = 'STRING'").select(key, F.when(F.col("path") == "", "?").otherwise(F.col("path")).alias("path"), "value")
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = level.where("kind like 'OBJECT%' or kind like 'ARRAY%'")
+        if inner.isEmpty():
+            return out
+        inner = inner.select(key, "path", F.col("kind").startswith("OBJECT").alias("object"), F.parse_json("json").alias("v"))
+        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("pos"), F.col("key").alias("name"), F.col("value").alias("inner")))
+        step = F.when(~F.col("object"), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
+        level = opened.select(key, step.alias("path"), F.col("inner").alias("v"))
 
 
 def recent_steps(tool: Column, target: Column, over) -> Column:

@@ -30,9 +30,9 @@ def occurrences(tokens: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def classified(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """tokens(session, token, start, now) and their occurrences: adds kind. The first use by the agent from `now` on decides:
-    own if the agent had used it in [start, now), else recarried if a tool event in [start, first use) had it, else
-    fresh; null if it is never used."""
+    """tokens(session, token, start, now) and their occurrences: use and proven. The first use by the agent from `now` on
+    decides: own if the agent had used it in [start, now), else recarried if a tool event in [start, first use) had it,
+    else fresh; null if it is never used. proven: whether the agent used it in [start, now)."""
     key = ["session", "token", "start", "now"]
     base = tokens.select(*key).distinct()
     seen = base.join(found, ["session", "token"], "left")
@@ -42,7 +42,7 @@ def classified(tokens: DataFrame, found: DataFrame) -> DataFrame:
         F.max(agent & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("now"))).alias("own"),
         F.min(F.when(tool & (F.col("pos") >= F.col("start")), F.col("pos"))).alias("tool"),
     )
-    return marks.select(*key, use_kind(F.col("first"), F.col("own"), F.col("tool")).alias("use"))
+    return marks.select(*key, use_kind(F.col("first"), F.col("own"), F.col("tool")).alias("use"), F.coalesce("own", F.lit(False)).alias("proven"))
 
 
 def use_kind(first: Column, own: Column, tool: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from ..functions.patterns import GENERIC_NAMES, PUBLIC_HOSTS, VENDORS
 from .queries import FIXTURE_KEY, K, LONG
+from .recorded_sql import RECORDED_SQL
 
 LINES = "(case when text = '' then []::varchar[] when right(text, 1) = chr(10) then string_split(left(text, length(text) - 1), chr(10)) else string_split(text, chr(10)) end)"
 TOKENS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}_./:@-]{{8,}}'), lambda t: not regexp_full_match(t, '\p{{L}}+'))"
@@ -113,15 +114,6 @@ select conv_id, turn, left({collapsed('coalesce(next, text)')}, 1000) as message
     "repeated_calls": f"with {STEPS} select a.event_id from steps a where exists (select 1 from steps b where b.user_id = a.user_id and b.event_type = a.event_type and b.props = a.props and b.pos > a.pos)",
     "edited_not_repeated": f"""with {STEPS} select a.event_id from steps a where tool = 'Read' and exists (select 1 from steps b where b.user_id = a.user_id and b.tool = 'Edit' and b.props = a.props and b.pos > a.pos)
 and not exists (select 1 from steps b where b.user_id = a.user_id and b.tool = 'Read' and b.props = a.props and b.pos > a.pos)""",
-    "weak_label_counts": rf"""with {STEPS},
-facts as (
-  select *, row_number() over (partition by user_id order by pos desc) as age, regexp_extract(props, '^\s*(\S*)', 1) as head,
-         exists (select 1 from steps b where b.user_id = a.user_id and b.tool = a.tool and b.props = a.props and b.pos > a.pos) as repeated,
-         a.tool = 'Read' and exists (select 1 from steps b where b.user_id = a.user_id and b.tool = 'Edit' and b.props = a.props and b.pos > a.pos) as edited,
-         length(regexp_extract(a.props, '^\s*(\S*)', 1)) > 3 and exists (select 1 from steps b where b.user_id = a.user_id and b.pos > a.pos and contains(b.props, regexp_extract(a.props, '^\s*(\S*)', 1))) as mentioned
-  from steps a),
-whys as (select case when edited and not repeated then 'edited later without re-reading' when repeated then 'the agent fetched it again anyway' when mentioned then 'target comes up later' else 'target never comes up again' end as why from facts where age > 6)
-select case when why like 'target%' then 'proxy' else 'gold' end as kind, case when why in ('edited later without re-reading', 'target comes up later') then 1 else 0 end as label, why, count(*) as n from whys group by all""",
     "age_baseline": "select user_id, greatest(0, count(*) - 6) as n_dropped, count(*) as n_calls from events group by user_id",
     "decide_actions": f"with {DECIDED} select tool, action, count(*) as n, cast(sum(kept) as bigint) as retained from sized group by tool, action",
     "replay_summary": f"with {DECIDED} select user_id, cast(sum(kept) as bigint) as retained, round(avg(cast((action <> 'keep') = old as integer)), 6) as agreement, min(score) as least, max(score) as most, list_sort(list(score))[count(*) // 2 + 1] as median from sized group by user_id",
@@ -141,5 +133,4 @@ labels as (select unnest(list_distinct(list_filter(list_concat([b[-2]], list_fil
   from h where not list_contains({listed(PUBLIC_HOSTS)}, array_to_string(b, '.')) and not list_contains({listed(PUBLIC_HOSTS)}, array_to_string(b[-2:], '.')))
 select label, count(*) as n_pages from labels group by label""",
     "bucket_hosts": f"with h as (select distinct regexp_extract(url, '^https?://([^/?#:]*)', 1) as host from pages) select host, case when list_contains({listed(PUBLIC_HOSTS)}, lower(host)) then host else {BUCKET} end as shown from h where host <> ''",
-    "json_walk": "select event_id, unnest(json_keys(props)) as path, json_extract_string(props, '$.' || unnest(json_keys(props))) as value from events",
-}
+} | RECORDED_SQL

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import redaction, text
 from ..operators import labels, metrics, policy, selection, sessions, usage, vectors
+from .recorded import FIXTURE_KEY, RECORDED
 
 LONG = 4000
-#: For these fixtures only: pseudonyms of real data need a key of their own.
-FIXTURE_KEY = "fixture-key"
 K = 5
 
 
@@ -114,8 +113,8 @@ def overlap_selector(spark: SparkSession, sf: str) -> DataFrame:
 
 def _decision(docs: DataFrame) -> DataFrame:
     """Documents with the K-th after them in their source, where one more follows."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs.withColumns({"now": F.lead("doc_id", K).over(w), "more": F.lead("doc_id", K + 1).over(w)}).where("more is not null")
+    calls = docs.withColumns({"session_id": F.col("source"), "call_pos": F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))})
+    return sessions.decision_points(calls, K, "doc_id").withColumnRenamed("now_doc_id", "now").drop("session_id", "call_pos", "now_pos")
 
 
 def hindsight_selector(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,13 +170,12 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def narration_carry(spark: SparkSession, sf: str) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _turns(spark, sf)
-    return rows.select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("is_text"), F.col("text")), ignorenulls=True).over(before), F.lit("")).alias("narration"), F.coalesce(F.count_if("is_text").over(before), F.lit(0)).alias("text_index"))
+    said = sessions.narration(F.col("is_text"), F.col("text"), before)
+    return _turns(spark, sf).select("conv_id", "turn", said.alias("narration"), sessions.texts_before(F.col("is_text"), before).alias("text_index"))
 
 
 def next_message(spark: SparkSession, sf: str) -> DataFrame:
-    after = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    rows = _turns(spark, sf).withColumn("next", F.first(F.when(F.col("is_text"), F.col("text")), ignorenulls=True).over(after))
+    rows = _turns(spark, sf).withColumn("next", sessions.next_text(F.col("is_text"), F.col("text"), Window.partitionBy("conv_id").orderBy("turn")))
     return rows.where(~F.col("is_text")).select("conv_id", "turn", F.left(text.collapse_space(F.coalesce("next", "text")), F.lit(1000)).alias("message"))
 
 
@@ -202,13 +200,6 @@ def edited_not_repeated(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("edited and not repeated").select("event_id")
 
 
-def weak_label_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _steps(spark, sf)
-    calls = rows.select(F.col("user_id").cast("string").alias("session_id"), F.col("pos").alias("call_pos"), "tool", F.col("props").alias("target"), F.col("props").alias("input_json"), F.lit("").alias("result"), F.lit(0).alias("text_index"))
-    texts = calls.select("session_id", F.lit(0).alias("text_index"), F.lit("").alias("body")).limit(0)
-    return labels.weak_labels(calls, texts).groupBy("kind", "label", "why").agg(F.count(F.lit(1)).alias("n"))
-
-
 def age_baseline(spark: SparkSession, sf: str) -> DataFrame:
     rows = _steps(spark, sf).withColumn("dropped", policy.too_old(["pos"], "user_id"))
     return rows.groupBy("user_id").agg(F.count_if("dropped").alias("n_dropped"), F.count(F.lit(1)).alias("n_calls"))
@@ -310,19 +301,12 @@ def bucket_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select(host.alias("host")).where("host <> ''").distinct().select("host", redaction.public_or_bucket(F.col("host"), FIXTURE_KEY).alias("shown"))
 
 
-def json_walk(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths and values of the fields of each event's properties."""
-    rows = _table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    rows.createOrReplaceTempView("json_walk_rows")
-    return spark.sql("select event_id, e.key as path, cast(e.value as string) as value from json_walk_rows, lateral variant_explode(v) as e")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         head_tail_survival, line_split, distinctive_tokens, head_tail_cut, preview_cut, chunk_bounds, collapse_space, chunk_trim, line_prune, used_lines,
         overlap_selector, hindsight_selector, use_kind, quoted_lines, narration_carry, next_message, last_five_steps, repeated_calls, edited_not_repeated,
-        weak_label_counts, age_baseline, decide_actions, replay_summary, auc_length, auc_embedding, vector_center_rank, cosine_nearest, stratified_sample,
-        secret_redaction, redacted_documents, contact_counts, drop_reasons, audit_counts, audit_samples, audit_verdict, host_label_df, bucket_hosts, json_walk,
+        age_baseline, decide_actions, replay_summary, auc_length, auc_embedding, vector_center_rank, cosine_nearest, stratified_sample,
+        secret_redaction, redacted_documents, contact_counts, drop_reasons, audit_counts, audit_samples, audit_verdict, host_label_df, bucket_hosts,
     )
-}
+} | RECORDED

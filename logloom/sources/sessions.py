@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,29 @@ def session_lines(files: DataFrame) -> DataFrame:
     return lines.select("session_id", "line_no", F.try_parse_json("line").alias("record")).where("record is not null")
 
 
+def write_sessions(lines: DataFrame, folder: str) -> None:
+    """lines(session_id, line_no, line): a file <session_id>.jsonl for each session in the folder. Lines are sorted within their
+    session's partition and written as they come; a repeated attempt writes the same file again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        fs.create_dir(top, recursive=True)
+        name, out = None, None
+        for batch in batches:
+            for session, line in zip(batch.column("session_id").to_pylist(), batch.column("line").to_pylist()):
+                if session != name:
+                    if out is not None:
+                        out.close()
+                    name, out = session, fs.open_output_stream(f"{top}/{session}.jsonl")
+                out.write((line + "\n").encode())
+        if out is not None:
+            out.close()
+        yield from ()
+
+    rows = lines.select("session_id", "line_no", "line").repartition("session_id").sortWithinPartitions("session_id", "line_no")
+    rows.mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def pair_rows(spark: SparkSession, path: str) -> DataFrame:
     """record (a variant) of every line that isn't blank; a line that is no JSON is an error."""
     return spark.read.text(path).where(~blank(F.col("value"))).select(F.parse_json("value").alias("record"))
@@ -38,6 +65,11 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
     return words.where((F.length("name") >= 3) & ~F.col("name").isin(GENERIC_NAMES)).distinct()
 
 
+def names_shown(names: DataFrame) -> DataFrame:
+    """The distinct names in order."""
+    return names.select("name").distinct().orderBy("name")
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Rows as JSON lines with null fields, in place of what is there."""
     pairs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
