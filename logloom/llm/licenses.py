@@ -175,10 +175,140 @@ WRITTEN = [
 ]
 
 
+#: Clauses and notices by which a license shows itself without its name.
+CLAUSES = [
+    ("mit", FULL, "sublicense", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", FULL, "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", FULL, "dealings in the software", r"arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit-0", FULL, "without restriction", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("mit-advertising", FULL, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("x11", FULL, "x consortium", r"the name of the x consortium shall not be used in advertising"),
+    ("isc", FULL, "author disclaims", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("bsd", FULL, "copyright holders and contributors", r"this software is provided by the copyright holders and contributors as is"),
+    ("bsd", FULL, "regents", r"this software is provided by the regents and contributors as is"),
+    ("bsd-3-clause", FULL, "without specific prior", r"used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", FULL, "no express or implied licenses", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-clause-views", FULL, "views and conclusions", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("bsd-1-clause", FULL, "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer this software is provided"),
+    ("zlib", FULL, "plainly marked", r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", FULL, "provided as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("boost", FULL, "boost", r"distributed under the boost software licen[cs]e version 1 0"),
+    ("unlicense", FULL, "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", FULL, "you just do what", r"you just do what the fuck you want to"),
+    ("apache-2.0", FULL, "derivative works of", r"reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work"),
+    ("apache-2.0", FULL, "as defined by sections", r"license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9"),
+    ("apache-2.0", FULL, "without warranties or conditions", r"distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-1.1", FULL, "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("gpl", FULL, "without even the implied", r"but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", FULL, "should have received a copy", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", FULL, "should have received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", FULL, "should have received a copy", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl-2", FULL, "designed to take away", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", FULL, "free copyleft license", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3", FULL, "term of copyright", r"all rights granted under this license are granted for the term of copyright on the program"),
+    ("agpl-3", FULL, "remote network interaction", r"remote network interaction use with the gnu general public license"),
+    ("agpl-3", FULL, "interacting with it remotely", r"prominently offer all users interacting with it remotely through a computer network"),
+    ("lgpl-3", FULL, "additional permissions listed below", r"supplemented by the additional permissions listed below"),
+    ("gfdl", FULL, "invariant sections", r"with no invariant sections (?:with )?no front cover texts and (?:with )?no back cover texts"),
+    ("gfdl", FULL, "invariant sections", r"with the invariant sections being"),
+    ("gpl-classpath-exception", NOTICE, "linking this library", r"linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-gcc-exception", NOTICE, "runtime library exception", r"gcc runtime library exception"),
+    ("gpl-bison-exception", NOTICE, "bison", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-font-exception", NOTICE, "font", r"if you create a document which uses this font and embed this font"),
+    ("gpl-autoconf-exception", NOTICE, "configuration script generated by autoconf", r"part of a program that contains a configuration script generated by autoconf"),
+    ("openssl-exception", NOTICE, "openssl library", r"permission to link the code of portions of this program with the openssl library"),
+    ("linux-syscall-note", NOTICE, "linux syscall note", r"linux syscall note"),
+    ("llvm-exception", NOTICE, "llvm", r"(?:with )?llvm exceptions?"),
+    ("mpl-1.1", FULL, "contents of this file are subject", r"the contents of this file are subject to the mozilla public license"),
+    ("mpl-2.0", FULL, "copy of the mpl was not", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-2.0-no-copyleft-exception", NOTICE, "incompatible with secondary licenses", r"incompatible with secondary licenses"),
+    ("epl", FULL, "accompanying program is provided", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e"),
+    ("epl", FULL, "program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cpl-1.0", FULL, "accompanying program is provided", r"the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("ipl-1.0", NAME, "ibm public", r"ibm public licen[cs]e(?: version 1 0)?"),
+    ("cddl", FULL, "contents of this file are subject", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("artistic", FULL, "reasonable copying fee", r"you may charge a reasonable copying fee for any distribution of this package"),
+    ("artistic-2.0", FULL, "standard version of the package", r"you may distribute verbatim copies of the source form of the standard version of the package"),
+    ("perl", NOTICE, "same terms as perl", r"under the same terms as perl(?: itself)?"),
+    ("python-2.0", FULL, "beopen", r"beopen python open source license agreement"),
+    ("python-2.0", FULL, "python software foundation", r"this license agreement is between the python software foundation"),
+    ("ruby", FULL, "make and give away verbatim", r"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("php", FULL, "php software freely", r"this product includes php software freely available"),
+    ("postgresql", FULL, "university of california be liable", r"in no event shall the university of california be liable to any party"),
+    ("openssl", FULL, "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", FULL, "eric young", r"this product includes cryptographic software written by eric young"),
+    ("curl", FULL, "with or without fee", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("ofl-1.1", FULL, "reserved font name", r"with reserved font name"),
+    ("ofl-1.1", FULL, "open font", r"the goals of the open font licen[cs]e"),
+    ("ubuntu-font-1.0", NAME, "ubuntu font", r"ubuntu font licen[cs]e(?: version 1 0)?"),
+    ("bitstream-vera", FULL, "bitstream", r"the names of gnome the gnome foundation and bitstream inc"),
+    ("arphic", NAME, "arphic", r"arphic public licen[cs]e"),
+    ("ipa-font", NAME, "ipa font", r"ipa font licen[cs]e"),
+    ("unicode", FULL, "unicode data files", r"a copy of the unicode data files and any associated documentation"),
+    ("unicode", NAME, "unicode", r"unicode (?:terms of use|license agreement)"),
+    ("w3c", FULL, "copying this work", r"by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"),
+    ("ogc", NAME, "ogc", r"ogc software licen[cs]e"),
+    ("naist", NAME, "nara institute", r"nara institute of science and technology"),
+    ("hpnd", FULL, "historical permission", r"historical permission notice and disclaimer"),
+    ("hpnd", FULL, "supporting documentation", r"that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("cmu", FULL, "carnegie mellon", r"carnegie mellon (?:university )?disclaims all warranties"),
+    ("ntp", FULL, "university of delaware", r"the university of delaware makes no representations about the suitability"),
+    ("libtiff", FULL, "sam leffler", r"the names of sam leffler and silicon graphics"),
+    ("ijg", FULL, "independent jpeg group", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", FULL, "freetype", r"portions of this software are copyright (?:c )?(?:\S+ )?the freetype project"),
+    ("ftl", NAME, "freetype", r"freetype (?:project )?licen[cs]e"),
+    ("imagemagick", NAME, "imagemagick", r"imagemagick licen[cs]e"),
+    ("sleepycat", NAME, "sleepycat", r"sleepycat licen[cs]e"),
+    ("nasa-1.3", NAME, "nasa open source", r"nasa open source agreement(?: version 1 3)?"),
+    ("bsl-1.1", FULL, "change date", r"on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("sspl-1", FULL, "service source code", r"you must make the service source code available via network download to everyone at no charge"),
+    ("elastic-2.0", FULL, "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("confluent-community", NAME, "confluent", r"confluent community licen[cs]e(?: agreement)?"),
+    ("timescale", NAME, "timescale", r"timescale licen[cs]e(?: agreement)?"),
+    ("redis-source-available", NAME, "redis source available", r"redis source available licen[cs]e"),
+    ("polyform", NAME, "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter|internal use|free trial) licen[cs]e"),
+    ("prosperity", NAME, "prosperity", r"prosperity public licen[cs]e"),
+    ("parity", NAME, "parity public", r"parity public licen[cs]e"),
+    ("blue-oak-1.0.0", NAME, "blue oak", r"blue oak model licen[cs]e"),
+    ("0bsd", TAG, "0bsd", r"0bsd"),
+    ("bsd-3-clause-nuclear", NOTICE, "nuclear facility", r"not designed licensed or intended for use in the design construction operation or maintenance of any nuclear facility"),
+    ("cc", FULL, "work as defined below", r"the work as defined below is provided under the terms of this creative commons public licen[cs]e"),
+    ("cc-by", FULL, "appropriate credit", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made"),
+    ("cc-by-sa", FULL, "same license as the original", r"distribute your contributions under the same license as the original"),
+    ("cc-by-nc", FULL, "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", FULL, "modified material", r"you may not distribute the modified material"),
+    ("cc0-1.0", FULL, "this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", NOTICE, "attribution", r"(?:licensed|released|distributed|available|published) under (?:a |the )?(?:creative commons )?attribution licen[cs]e"),
+    ("odbl", FULL, "this database", r"this database is made available under the open database licen[cs]e"),
+    ("pddl-1.0", NAME, "public domain dedication", r"public domain dedication and licen[cs]e(?: v?1 0)?"),
+    ("dl-de-by-2.0", NAME, "datenlizenz", r"datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?"),
+    ("dl-de-zero-2.0", NAME, "datenlizenz", r"datenlizenz deutschland zero(?: version)?(?: 2 0)?"),
+    ("etalab-2.0", NAME, "licence ouverte", r"licence ouverte(?: open licen[cs]e)?(?: version)?(?: 2 0)?"),
+    ("ogl-uk", FULL, "open government", r"contains public sector information licensed under the open government licen[cs]e"),
+    ("crown-copyright", NOTICE, "crown copyright", r"crown copyright(?: (?:19|20)\d\d)?"),
+    ("us-government-work", NOTICE, "17 u s c", r"(?:not subject to copyright|public domain) (?:\S+ ){0,6}17 u s c"),
+    ("gutenberg", FULL, "anyone anywhere", r"this e ?book is for the use of anyone anywhere"),
+    ("gutenberg", NAME, "project gutenberg", r"project gutenberg licen[cs]e"),
+    ("llama-community", FULL, "built with", r"prominently display built with (?:meta )?llama"),
+    ("openrail", FULL, "use based restrictions", r"use based restrictions as referenced in paragraph"),
+    ("gemma-terms", NAME, "gemma", r"gemma terms of use"),
+    ("trademark", NOTICE, "trademark", r"(?:is|are) (?:a )?(?:registered )?trademarks? of"),
+    ("confidential", NOTICE, "confidential", r"(?:strictly|company) confidential"),
+    ("confidential", NOTICE, "intended only for", r"(?:this (?:message|email|communication) is )?intended only for the (?:use of the )?(?:addressee|recipient|individual)"),
+    ("proprietary", NOTICE, "trade secret", r"trade secrets? (?:of|and confidential)"),
+    ("proprietary", NOTICE, "reverse engineer", r"may not (?:\S+ ){0,6}reverse engineer"),
+    ("proprietary", NOTICE, "licensed not sold", r"the software is licensed not sold"),
+    ("terms", NAME, "terms of", r"(?:subject to|agree to|accept) (?:the |our |these )?terms of (?:use|service)"),
+    ("free-use", NOTICE, "freely", r"may be freely (?:copied|distributed|used)(?: and distributed)?"),
+    ("with-permission", NOTICE, "with permission", r"(?:used|reprinted|reproduced) with permission"),
+    ("patent-grant", NOTICE, "royalty free irrevocable", r"perpetual worldwide non ?exclusive no charge royalty free irrevocable (?:\S+ ){0,6}patent licen[cs]e"),
+]
+
+
 @cache
 def rules() -> list[Rule]:
     """All rules, in order."""
-    out = [Rule(label, priority, keyword.encode(), pattern) for label, priority, keyword, pattern in WRITTEN]
+    out = [Rule(label, priority, keyword.encode(), pattern) for label, priority, keyword, pattern in (*WRITTEN, *CLAUSES)]
     for stem, keyword, name, versions in VERSIONED:
         for version in versions.split():
             number = " ".join(re.findall(r"\d+|[a-z]+", version.removesuffix(".0"))) + (r"(?: 0)?" if "." not in version or version.endswith(".0") else "")

@@ -51,3 +51,9 @@ def test_defined_results(spark):
     assert [r.n_base for r in got] == [0, 0, 30000] and got[0].first_word is None and got[0].score == 0
     assert got[2].last_word == 59998
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_repeats_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "MIT License", 1, "x"), (None, "MIT License", 2, "y")], "doc_id long, text string, score int, labels string")
+    got = L.scan(docs).collect()
+    assert [(r.doc_id, r.labels) for r in got] == [(None, "mit")] * 2
