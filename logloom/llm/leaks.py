@@ -8,9 +8,11 @@ shingle, the whole.
    are all others that have as many shingles of an item, in any places, as a similarity of 0.8 takes (a passage with its
    halves swapped lines up nothing), so nothing is lost. Where the benchmark has at most INLINE shingles (checked),
    documents are searched for their hashes in place. A larger benchmark is joined by hash instead.
-2. Fingerprints. Distinct windows and items get 64-bit SimHash fingerprints of their shingles. With RADIUS + 1 blocks, two
-   within RADIUS bits agree on one block at least, so the join on length, block and value misses none of them. A
-   similarity of 0.8 is an angle of 0.15 half-turns, about 10 bits; RADIUS lies 3.6 standard deviations beyond.
+2. Fingerprints. Distinct windows and items get SimHash fingerprints of their shingles, of PARTS times 63 bits, in BLOCKS
+   blocks of 15 or 16 bits. Two that differ in RADIUS bits or fewer differ in NEAR or fewer in one block at least. Items
+   stand under every value within NEAR bits of their blocks, windows ask with their own, so the join on length, block
+   and value misses none of them, and of other pairs it lets about one in eight meet. A similarity of 0.8 is an angle of
+   0.15 half-turns, about 29 bits of 189; RADIUS lies 3.7 standard deviations beyond.
 3. Verification of the exact similarity.
 
 Defined results: null texts are empty; a document shorter than an item is one window; null doc_ids are reported as null;
@@ -20,12 +22,18 @@ smaller start; very long texts are searched whole; empty tables give an empty re
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SHINGLE, LEAST, RADIUS = 5, 0.8, 20
+SHINGLE, LEAST = 5, 0.8
+PARTS, BLOCKS, NEAR = 3, 12, 3
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: A bit in each of three lanes of 21 bits, in which bits are counted; a lane's largest count.
+LANES, LANE_BITS = 1 | 1 << 21 | 1 << 42, 21
 #: Most benchmark shingles that are searched for in place, and most that are broadcast.
 INLINE, BROADCAST = 50_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,16 +59,36 @@ def _shingles(words: str, n: str = str(SHINGLE)) -> Column:
 
 
 def _fingerprint(shingles: str) -> Column:
-    """A bit is set if it is in over half of the shingles' hashes."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * aggregate({shingles}, 0, (s, x) -> s + cast(shiftright(xxhash64(x), b) & 1L as int)) > size({shingles}), shiftleft(1L, b), 0L))"
-    )
+    """PARTS numbers of 63 bits. A bit is set if it is in over half of the shingles' hashes. Three bits are counted at once: a
+    hash that is shifted and masked has one in each lane, and a count over half carries into its lane's last place."""
+    counted = f"aggregate(h, 0L, (s, x) -> s + (shiftrightunsigned(x, j) & {LANES}L))"
+    half = f"({(1 << LANE_BITS - 1) - 1}L - cast(size(h) div 2 as bigint)) * {LANES}L"
+    part = f"aggregate(sequence(0, {LANE_BITS - 1}), 0L, (f, j) -> f | shiftleft(shiftrightunsigned({counted} + {half}, {LANE_BITS - 1}) & {LANES}L, j))"
+    return F.expr("array(" + ", ".join(f"element_at(transform(array(transform({shingles}, x -> xxhash64({k}, x))), h -> {part}), 1)" for k in range(PARTS)) + ")")
 
 
 def _blocks(fp: str) -> Column:
-    """The RADIUS + 1 blocks of a fingerprint: number and value."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    return F.expr("array(" + ", ".join(f"struct({k} as block, shiftrightunsigned({fp}, {a}) & {(1 << b - a) - 1}L as value)" for k, (a, b) in enumerate(zip(edges, edges[1:]))) + ")")
+    """The blocks of a fingerprint: number, width and value."""
+    each = BLOCKS // PARTS
+    edges = [63 * k // each for k in range(each + 1)]
+    out = [f"struct({p * each + k} as block, {b - a} as width, cast(shiftrightunsigned(get({fp}, {p}), {a}) & {(1 << b - a) - 1}L as int) as value)" for p in range(PARTS) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return F.expr("array(" + ", ".join(out) + ")")
+
+
+def _changes(spark: SparkSession) -> DataFrame:
+    """width, change: every pattern of NEAR bits or fewer in a block of that width. About 1,300 rows."""
+    rows = [(width, sum(1 << b for b in bits)) for width in (15, 16) for n in range(NEAR + 1) for bits in itertools.combinations(range(width), n)]
+    return spark.createDataFrame(rows, "width int, change int")
+
+
+def near(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Both (n_words, fp), distinct: n_words, fp, item_fp of all pairs of a length within RADIUS bits."""
+    asked = windows.select("n_words", "fp", F.inline(_blocks("fp"))).drop("width").alias("w")
+    kept = items.select("n_words", "fp", F.inline(_blocks("fp"))).join(F.broadcast(_changes(items.sparkSession)), "width")
+    kept = kept.select("n_words", "fp", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value")).alias("t")
+    apart = " + ".join(f"bit_count(get(w.fp, {p}) ^ get(t.fp, {p}))" for p in range(PARTS))
+    met = asked.join(kept, F.expr(f"w.n_words = t.n_words and w.block = t.block and w.value = t.value and {apart} <= {RADIUS}"))
+    return met.select("w.n_words", F.col("w.fp").alias("fp"), F.col("t.fp").alias("item_fp")).distinct()
 
 
 def _similarity(a: str, b: str) -> Column:
@@ -123,11 +151,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     own = stored(marked(found.select("n_words", F.col("window").alias("words")).distinct()), "contents")
     theirs = stored(marked(items.select("item_id", "words", F.size("words").alias("n_words"))), "marked")
-    keyed = lambda x, *keep: x.select(*keep, "n_words", "fp", F.inline(_blocks("fp")))
     # fingerprints meet in blocks; what is within the radius gets its shingles back and is verified
-    near = keyed(own.select("n_words", "fp").distinct()).alias("w").join(keyed(theirs.select("n_words", "fp").distinct()).alias("t"), F.expr(f"w.n_words = t.n_words and w.block = t.block and w.value = t.value and bit_count(w.fp ^ t.fp) <= {RADIUS}"))
-    near = near.select("w.n_words", F.col("w.fp").alias("fp"), F.col("t.fp").alias("item_fp")).distinct()
-    pairs = near.join(own, ["n_words", "fp"]).select("n_words", "item_fp", F.col("words").alias("window"), F.col("shingles").alias("a"))
+    close = near(own.select("n_words", "fp").distinct(), theirs.select("n_words", "fp").distinct())
+    pairs = close.join(own, ["n_words", "fp"]).select("n_words", "item_fp", F.col("words").alias("window"), F.col("shingles").alias("a"))
     pairs = pairs.join(theirs.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("shingles").alias("b")), ["n_words", "item_fp"])
     same = stored(pairs.withColumn("similarity", _similarity("a", "b")).where(F.col("similarity") >= LEAST).select("n_words", "window", "item_id", "similarity"), "same")
     rows = found.join(same, ["n_words", "window"]).groupBy("doc_id", "item_id", "lined_up").agg(F.min("start").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.max("similarity").alias("similarity"))
