@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-RATIO, LEAST_PAGES = 0.5, 10
+RATIO, LEAST_PAGES = 0.5, 3
 #: For documents: a line goes if LEAST_TEXTS different texts have it, and more than a share of its source's or of all.
 LEAST_TEXTS, SOURCE_RATIO, WHOLE_RATIO = 10, 0.01, 0.001
 #: A document that would keep a smaller share of its characters stays as it is.
@@ -31,10 +31,12 @@ LEAST_KEPT = 0.5
 #: Where a web page's text breaks: at tags and line ends.
 BREAKS = r"(<[^>]*>|[\r\n])+"
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+SPACE = " \t\n\x0b\x0c\r"
+KEYS = "array<struct<a:bigint,b:bigint>>"
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, BLANK, "")
+    return F.btrim(line, F.lit(SPACE))
 
 
 def _key(line: Column) -> Column:
@@ -42,6 +44,27 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
+def _bound(value: Column, body) -> Column:
+    """A function of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _marked(lines: Column, *lists: Column) -> Column:
+    """The lines as structs: line, full (not empty when trimmed), gone (its key is in one of the lists of keys). Most lines are
+    told by the first half of their key alone, which is compared as a number."""
+    firsts = F.struct(*(F.transform(x, lambda k: k["a"]).alias(f"x{i}") for i, x in enumerate(lists)))
+
+    def hit(t: Column, heads: Column) -> Column:
+        a = F.xxhash64(t)
+        out = F.lit(False)
+        for i, x in enumerate(lists):
+            out = out | (F.array_contains(heads[f"x{i}"], a) & F.array_contains(x, _key(t)))
+        return out
+
+    one = lambda x, heads: _bound(trimmed(x), lambda t: F.struct(x.alias("line"), (t != "").alias("full"), ((t != "") & hit(t, heads)).alias("gone")))
+    return _bound(firsts, lambda heads: F.transform(lines, lambda x: one(x, heads)))
+
+
 def boilerplate(pages: DataFrame) -> DataFrame:
     """pages(host, lines). Returns host, host_pages, keys (of its boilerplate lines)."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
@@ -50,7 +73,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     often = counts.alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host")).where((F.col("host_pages") >= LEAST_PAGES) & (F.col("n") > RATIO * F.col("host_pages")))
     keys = often.groupBy(F.col("t.host").alias("host")).agg(F.collect_list("key").alias("keys"))
     out = totals.alias("t").join(keys.alias("k"), F.expr("t.host <=> k.host"), "left")
-    return stored(out.select("t.host", "host_pages", F.coalesce("keys", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("keys")), "boilerplate")
+    return stored(out.select("t.host", "host_pages", F.coalesce("keys", F.array().cast(KEYS)).alias("keys")), "boilerplate")
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +92,21 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def framed(docs: DataFrame) -> DataFrame:
     """docs(row, host, lines, text). Returns row, n_dropped and kept: the lines that are not repeated in many documents."""
     near, everywhere = repeated(docs.select("host", "lines", "text"))
-    rows = docs.alias("p").join(near.alias("b"), F.expr("p.host <=> b.host"), "left").crossJoin(F.broadcast(everywhere)).select("p.row", "p.lines", F.coalesce("b.keys", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("keys"), "everywhere")
-    stay = F.filter("lines", lambda x: (trimmed(x) == "") | ~(F.array_contains("everywhere", _key(trimmed(x))) | F.array_contains("keys", _key(trimmed(x)))))
-    rows = rows.withColumn("stay", stay)
-    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
-    copy = size("stay") < LEAST_KEPT * size("lines")
-    return rows.select("row", F.when(copy, 0).otherwise(F.size("lines") - F.size("stay")).alias("n_dropped"), F.when(copy, F.col("lines")).otherwise(F.col("stay")).alias("kept"))
+    rows = docs.alias("p").join(near.alias("b"), F.expr("p.host <=> b.host"), "left").crossJoin(F.broadcast(everywhere)).select("p.row", "p.lines", F.coalesce("b.keys", F.array().cast(KEYS)).alias("keys"), "everywhere")
+    rows = rows.select("row", _bound(_marked(F.col("lines"), F.col("everywhere"), F.col("keys")), _without_frame).alias("out"))
+    return rows.select("row", "out.n_dropped", "out.kept")
+
+
+def _without_frame(marked: Column) -> Column:
+    """n_dropped and kept of a document's marked lines; of a copy nothing goes."""
+    size = lambda rows: F.aggregate(rows, F.lit(0), lambda n, x: n + F.length(trimmed(x["line"])))
+
+    def outcome(stay: Column) -> Column:
+        copy = size(stay) < LEAST_KEPT * size(marked)
+        kept = F.transform(F.when(copy, marked).otherwise(stay), lambda x: x["line"])
+        return F.struct(F.when(copy, 0).otherwise(F.size(marked) - F.size(stay)).alias("n_dropped"), kept.alias("kept"))
+
+    return _bound(F.filter(marked, lambda x: ~x["gone"]), outcome)
 
 
 def cleaned(pages: DataFrame) -> DataFrame:
@@ -82,12 +114,16 @@ def cleaned(pages: DataFrame) -> DataFrame:
     kept: the lines that stay."""
     found = boilerplate(pages.select("host", "lines")).alias("b")
     rows = pages.alias("p").join(found, F.expr("p.host <=> b.host"), "left").select("p.row", "p.host", "host_pages", "keys", "p.lines")
-    empty = lambda x: trimmed(x) == ""
-    stay = F.when(F.size("keys") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: empty(x) | ~F.array_contains(F.col("keys"), _key(trimmed(x)))))
-    full = lambda c: F.size(F.filter(c, lambda x: ~empty(x)))
-    rows = rows.withColumn("stay", stay).withColumns({"n_lines": full("lines"), "n_stay": full("stay")})
-    whole = F.col("n_stay") == 0
-    return rows.select("row", "host", "host_pages", "n_lines", F.when(whole, 0).otherwise(F.col("n_lines") - F.col("n_stay")).alias("n_dropped"), F.when(whole, F.col("lines")).otherwise(F.col("stay")).alias("kept"))
+    full = lambda m: F.size(F.filter(m, lambda x: x["full"]))
+
+    def outcome(m: Column) -> Column:
+        stay = F.filter(m, lambda x: ~x["gone"])
+        whole = full(stay) == 0
+        kept = F.transform(F.when(whole, m).otherwise(stay), lambda x: x["line"])
+        return F.struct(full(m).alias("n_lines"), F.when(whole, 0).otherwise(F.size(m) - F.size(stay)).alias("n_dropped"), kept.alias("kept"))
+
+    rows = rows.select("row", "host", "host_pages", _bound(_marked(F.col("lines"), F.col("keys")), outcome).alias("out"))
+    return rows.select("row", "host", "host_pages", "out.n_lines", "out.n_dropped", "out.kept")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
