@@ -82,6 +82,7 @@ g as (select *, sum(keep::integer) over (partition by doc_id order by i) as run,
 p as (select doc_id, run, max(line) filter (keep) as kept, count(*) filter (not keep) as n, sum(length(line)) filter (not keep) as chars, string_agg(line, chr(10) order by i) filter (not keep) as gone, any_value(n_kept) as n_kept from g group by doc_id, run),
 q as (select doc_id, string_agg(concat_ws(chr(10), kept, case when n = 0 then null when chars > 18 or run = n_kept then '(filtered ' || n || ' lines)' else gone end), chr(10) order by run) as pruned from p group by doc_id)
 select doc_id, coalesce(pruned, '') as pruned from documents left join q using (doc_id)""",
+    "kept_lines": f"select doc_id, array_to_string(list_filter({LINES}, lambda x, i: i % 3 <> 2), chr(10)) as cut from documents",
     "used_lines": f"with {USED} select doc_id, cast(line_no as integer) as line_no from used",
     "head_tail_survival": f"""with {USED},
 sizes as (select unnest([0.74, 0.54, 0.32]::double[]) as share),

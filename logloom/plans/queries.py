@@ -111,6 +111,13 @@ def overlap_selector(spark: SparkSession, sf: str) -> DataFrame:
     return _kept(_long(spark, sf), score, 0.32)
 
 
+def kept_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The cut text of two lines in three of each document."""
+    docs = _table(spark, sf, "documents").select("doc_id", text.split_lines(F.col("text")).alias("lines"))
+    some = F.filter(F.transform("lines", lambda x, i: i), lambda i: i % 3 != 1)
+    return docs.select("doc_id", text.kept_text(F.col("lines"), F.reverse(some)).alias("cut"))
+
+
 def _decision(docs: DataFrame) -> DataFrame:
     """Documents with the K-th after them in their source, where one more follows."""
     calls = docs.withColumns({"session_id": F.col("source"), "call_pos": F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))})
@@ -305,7 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         head_tail_survival, line_split, distinctive_tokens, head_tail_cut, preview_cut, chunk_bounds, collapse_space, chunk_trim, line_prune, used_lines,
-        overlap_selector, hindsight_selector, use_kind, quoted_lines, narration_carry, next_message, last_five_steps, repeated_calls, edited_not_repeated,
+        overlap_selector, kept_lines, hindsight_selector, use_kind, quoted_lines, narration_carry, next_message, last_five_steps, repeated_calls, edited_not_repeated,
         age_baseline, decide_actions, replay_summary, auc_length, auc_embedding, vector_center_rank, cosine_nearest, stratified_sample,
         secret_redaction, redacted_documents, contact_counts, drop_reasons, audit_counts, audit_samples, audit_verdict, host_label_df, bucket_hosts,
     )

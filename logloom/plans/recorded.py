@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks
-from ..operators import context, harvest, labels, metrics, policy, retention, sessions
+from ..operators import context, harvest, labels, metrics, policy, retention, selection, sessions
 from ..sources import sessions as source
 from ..sources.storage import fresh, stored
 
 TOOLS = ["Bash", "Read", "Edit", "mcp__mail__send", "Write", "Read"]
 #: For these fixtures only: pseudonyms of real data need a key of their own.
 FIXTURE_KEY = "fixture-key"
-KS, SHARES = (5, 10, 20), (0.54, 0.32, 0.15)
+KS, SHARES = (5, 10, 20), selection.SMALL_SIZES
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:

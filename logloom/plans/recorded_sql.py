@@ -120,7 +120,7 @@ from calls c left join texts t on t.session_id = c.session_id and t.text_index =
     "context_areas": f"""with {AT},
 scores as (select 'short input' as score, -n_input as s, label from marked union all select 'short result', -n_result, label from marked),
 areas as (select a.score, sum((a.s > b.s)::integer + 0.5::double * (a.s = b.s)::integer) as won from scores a join scores b on a.score = b.score where a.label = 1 and b.label = 0 group by a.score),
-sums as (select score, count(*) filter (where label = 1) as positives, count(*) filter (where label = 0) as negatives, round(stddev_pop(s), 6) as spread from scores group by score)
+sums as (select score, count(*) filter (where label = 1) as positives, count(*) filter (where label = 0) as negatives, round(stddev_pop(s), 6) as spread from (values ('short input'), ('short result')) n(score) left join scores using (score) group by score)
 select score, positives, negatives, round(coalesce(won, 0) / greatest(1, positives * negatives), 9) as auc, spread from sums left join areas using (score)""",
     "retention_matrix": f"with {MATRIX} select k, definition, share, needed, by_ends, by_hindsight from matrix",
     "needed_line_kinds": f"with {CUTS} select k, case r when 3 then 'fresh' when 2 then 'recarried' else 'own' end as kind, count(*) as n from cuts where share = {SHARES[0]} group by all",
