@@ -1,11 +1,12 @@
 """Operator 1: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled parts
-    N   normaliser: longest-match rewriting by the model's rule trie, white space to the marker, optional prefix
-    L   lexicon: one path a piece, kept as a trie with the piece's id at its end
-    B   byte fallback: a path of byte pieces for each character that no piece covers
-Composition with an input happens on the fly, one normalised word at a time: states are positions, arcs are the
-pieces that L accepts there. The tropical shortest path is taken over (position, last arc).
+Machines, whose states and arcs are made when they are first asked for and then kept
+    N   normaliser: subsequential; a state is the input that may still become a longer rule, an arc takes a character and
+        puts out what is certain. Rules are the model's, longest match first; the marker is a space.
+    L   lexicon: one path of characters a piece, joined as a trie, with the piece's id as its output
+    B   byte fallback: for each character that no piece covers an arc whose output is the path of its bytes' pieces
+The input is composed with N; then each word of the result, a line of states, with the closure of L and B: states are
+positions, arcs are the pieces that L or B accept there. The tropical shortest path is taken over (position, last arc).
 
 Weights
     unigram models  an arc weighs minus its score, whatever precedes it
@@ -36,8 +37,10 @@ from .common import Kept, slices, small_batches, table, texts
 
 MARK = "▁"
 #: Words, and parts of words, of a generation whose encodings are kept in each worker.
-KEPT_WORDS = 130_000
-KEPT_PAIRS = 300_000
+KEPT_WORDS = 90_000
+KEPT_PAIRS = 200_000
+#: Arcs of the normaliser that are kept.
+KEPT_ARCS = 200_000
 #: Longer words are not kept.
 KEPT_CHARS = 200
 SCHEMA = "doc_id long, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean"
@@ -85,20 +88,23 @@ class RuleTrie:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :]
 
-    def apply(self, text: str) -> str:
-        if not self.units:
-            return text
-        data, out, at = text.encode(), [], 0
-        while at < len(data):
-            length, value = self._longest(data, at)
-            if length:
-                out.append(self.texts[value : self.texts.index(0, value)])
-            else:
-                lead = data[at]
-                length = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                out.append(data[at : at + length])
-            at += length
-        return b"".join(out).decode()
+    def longest(self, text: str) -> tuple[int, str]:
+        """Characters of the longest rule that the text starts with (0 if none), and what replaces them."""
+        data = text.encode("utf-8", "replace")
+        size, value = self._longest(data, 0)
+        return len(data[:size].decode("utf-8", "ignore")), self.texts[value : self.texts.index(0, value)].decode() if size else ""
+
+    def may_grow(self, text: str) -> bool:
+        """Whether some rule starts with the text."""
+        unit = self.units[0]
+        node = (unit >> 10) << ((unit & 0x200) >> 6)
+        for byte in text.encode("utf-8", "replace"):
+            node ^= byte
+            unit = self.units[node]
+            if unit & 0x800000FF != byte:
+                return False
+            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+        return True
 
     def _longest(self, data: bytes, at: int) -> tuple[int, int]:
         unit = self.units[0]
@@ -114,6 +120,50 @@ class RuleTrie:
         return found
 
 
+class Normaliser:
+    """N. arcs: by state (pending input) and character, the output and the next state."""
+
+    def __init__(self, rules: RuleTrie):
+        self.rules, self.arcs = rules, {}
+
+    def arc(self, pending: str, char: str) -> tuple[str, str]:
+        known = self.arcs.get((pending, char))
+        if known is None:
+            known = self._settled(pending + char, last=False)
+            if len(self.arcs) < KEPT_ARCS:
+                self.arcs[pending, char] = known
+        return known
+
+    def _settled(self, text: str, last: bool) -> tuple[str, str]:
+        """The output of what no further input changes, and the rest."""
+        out = []
+        while text and (last or not self.rules.may_grow(text)):
+            size, new = self.rules.longest(text)
+            out.append(new if size else text[0])
+            text = text[size or 1 :]
+        return "".join(out), text
+
+    def apply(self, text: str) -> str:
+        """The composition of a text with the machine."""
+        if not self.rules.units:
+            return text
+        out, state = [], ""
+        for char in text:
+            new, state = self.arc(state, char)
+            out.append(new)
+        return "".join(out) + self._settled(state, last=True)[0]
+
+
+class Fallback:
+    """B. The path of a character: its bytes' pieces, or the unknown piece."""
+
+    def __init__(self, bytes_: dict[int, int], unknown: int):
+        self.bytes, self.unknown = bytes_, unknown
+
+    def path(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+
+
 class Transducer:
     """encode() and decode() for a SentencePiece model file of the BPE or unigram kind."""
 
@@ -132,7 +182,7 @@ class Transducer:
             raise ValueError("the model is neither unigram nor BPE")
         if any(kind == 4 for _, _, kind in pieces):
             raise ValueError("user-defined pieces are not supported")
-        self.rules = RuleTrie(normaliser.get(2, b""))
+        self.normaliser = Normaliser(RuleTrie(normaliser.get(2, b"")))
         self.prefix, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
         self.ids = {text: i for i, (text, _, kind) in enumerate(pieces) if kind == 1}
         self.score = {text: score for text, score, kind in pieces if kind == 1}
@@ -149,6 +199,7 @@ class Transducer:
             raise ValueError("a piece has white space behind another character")
         self.unknown = next(i for i, x in enumerate(pieces) if x[2] == 2)
         self.byte = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(pieces) if kind == 6}
+        self.fallback = Fallback(self.byte, self.unknown)
         self.is_byte = np.array([kind == 6 for _, _, kind in pieces])
         self.unknown_score = min(self.score.values()) - 10
         self.out = [b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else bytes([int(text[3:5], 16)]) if kind == 6 else text.replace(MARK, " ").encode() for text, _, kind in pieces]
@@ -156,16 +207,11 @@ class Transducer:
         self.histories: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
         self.words, self.parts = _Words(self), _Parts(self)
 
-    # N
     def normal(self, text: str) -> str:
         """The normalised text, with spaces still as spaces and without the prefix."""
-        text = self.rules.apply(text).replace(MARK, " ")
+        text = self.normaliser.apply(text).replace(MARK, " ")
         return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
 
-    # B
-    def fallback(self, char: str) -> list[int]:
-        return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
-
     def history(self, text: str) -> tuple[list[float], list[str], list[str]] | None:
         """The merges of a piece's own characters, in order: their scores (last: minus infinity), and the leftmost and
         rightmost part before each. None if they don't end in the piece."""
@@ -211,7 +257,7 @@ class Transducer:
         if known is None and (known := self.strange.get(text)) is None:
             known = self.strange[text] = len(self.arcs)
             self.arcs.append(text)
-            self.arc_ids.append(self.fallback(text))
+            self.arc_ids.append(self.fallback.path(text))
             self.lexicon.setdefault(text, {})[""] = known
         return known
 
@@ -276,6 +322,14 @@ class Transducer:
         text = self.normal(text)
         if not text:
             return b""
+        if self.byte:
+            return self._joined(text)
+        # unknown characters in a row are one unknown piece
+        ids = np.frombuffer(self._joined(text), "<i4")
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[np.concatenate([[True], ~again])].tobytes()
+
+    def _joined(self, text: str) -> bytes:
         words = self.words
         if not self.prefix or text[0] == " " or "  " in text:
             return b"".join([words[" " + w] for w in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", (MARK if self.prefix else "") + text.replace(" ", MARK))])

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 
@@ -29,9 +30,66 @@ def test_encode_and_decode_equal_the_library(both):
 def test_normaliser_rules_equal_the_library(both):
     rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     blob = next(v for k, v in pieces._fields(rules.serialized_model_proto()) if k == 3)
-    trie = pieces.RuleTrie(dict(pieces._fields(blob))[2])
-    for text in ["ﬁ x", "①②", "Ａｂｃ", "é", "½ kg", "한글", "plain", ""]:
-        assert trie.apply(text).split() == rules.normalize(text).replace("▁", " ").split()
+    machine = pieces.Normaliser(pieces.RuleTrie(dict(pieces._fields(blob))[2]))
+    rng = random.Random(5)
+    marks = "ﬁ①½Ａｱﾌﾟﾞが\u3099か\u0301e\u0301\u030a한ᄒ\u1161\u11abx \u00a0\u200b日"
+    texts = ["ﬁ x", "①②", "Ａｂｃ", "é", "½ kg", "한글", "plain", ""] + ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for text in texts:
+        assert machine.apply(text).split() == rules.normalize(text).replace("▁", " ").split(), repr(text)
+
+
+def field(number, value):
+    """A field of a protocol-buffer message."""
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return bytes([number << 3]) + varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return bytes([number << 3 | 2]) + varint(len(data)) + data
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def unigram_model(fallback, rule=None):
+    """A model file with pieces and scores by hand."""
+    rng = random.Random(9)
+    texts = ["▁", *"abcdeé", "▁a", "▁b", "ab", "bc", "abc", "cd", "▁the", "the", "de", "ed", "ede", "▁ab", "éa", "aa", "aaa", "e▁" [:1] + "d"]
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if fallback:
+        pieces_ += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces_ += [(t, -1.0 - 9 * rng.random(), 1) for t in dict.fromkeys(texts)]
+    out = b"".join(field(1, field(1, t) + field(2, score) + field(3, kind)) for t, score, kind in pieces_)
+    out += field(2, field(3, 1) + (bytes([35 << 3 & 127 | 128, 2, 1]) if fallback else b""))
+    blob = b""
+    if rule:
+        made = next(v for k, v in pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if k == 3)
+        blob = field(2, dict(pieces._fields(made))[2])
+    return out + field(3, field(1, rule or "identity") + blob + field(3, 1) + field(4, int(bool(rule))) + field(5, 1))
+
+
+@pytest.mark.parametrize(("fallback", "rule"), [(False, None), (True, None), (False, "nmt_nfkc"), (True, "nfkc")])
+def test_unigram_models_equal_the_library(fallback, rule):
+    model = unigram_model(fallback, rule)
+    library, ours = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    rng = random.Random(3)
+    cases = ["", " ", "abc", "the abcde", "xyz", "aaaa", "ééa  b", "日日 a"] + ["".join(rng.choice("abcdeé the xﬁ日") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    for text in cases:
+        ids = library.encode(text)
+        assert ours.encode(text) == ids, repr(text)
+        assert ours.decode(ids) == library.decode(ids), repr(text)
+
+
+def test_whole_table_equals_the_library(spark, sf, both):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: both[1].encode(r.text or "") for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in pieces.op1_sentencepiece(spark, sf).collect()}
+    assert got == want
 
 
 def test_defined_results(spark):
