@@ -2,7 +2,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 
 from logloom.llm import quality as Q
 
@@ -43,9 +42,11 @@ def test_verdict_leaves_clean_rows_and_takes_outliers(spark):
 
 def cells_of(rows, grid):
     """The rows' cells, or a cell for each row."""
-    key = np.floor(rows / Q.STEP).astype(int) if grid else np.arange(len(rows))[:, None] * np.ones((1, 5), int)
-    frame = pd.DataFrame(key, columns=[f"c{i}" for i in range(5)]).assign(n=1, **{f"s{i}": rows[:, i] for i in range(5)}, **{f"p{i}{j}": rows[:, i] * rows[:, j] for i in range(5) for j in range(i + 1)})
-    return frame.groupby([f"c{i}" for i in range(5)], as_index=False).sum()
+    key = np.floor(rows / Q.STEP).astype(int) if grid else np.arange(len(rows))[:, None]
+    _, at = np.unique(key, axis=0, return_inverse=True)
+    products = np.column_stack([rows[:, i] * rows[:, j] for i in range(5) for j in range(i + 1)])
+    add = lambda x: np.column_stack([np.bincount(at.ravel(), c) for c in x.T])
+    return Q.Cells(np.bincount(at.ravel()), add(rows), add(products))
 
 
 def test_estimates_on_cells_agree_with_estimates_on_rows():
