@@ -6,7 +6,8 @@ Machines, whose states and arcs are made when they are first asked for and then
     L   lexicon: one path of characters a piece, joined as a trie, with the piece's id as its output
     B   byte fallback: for each character that no piece covers an arc whose output is the path of its bytes' pieces
 The input is composed with N; then each word of the result, a line of states, with the closure of L and B: states are
-positions, arcs are the pieces that L or B accept there. The tropical shortest path is taken over (position, last arc).
+positions, arcs are the pieces that L or B accept there. The tropical shortest path is taken over (position, last arc); with
+weights 0 and infinity it is searched in depth, longest arcs first.
 
 Weights
     unigram models  an arc weighs minus its score, whatever precedes it
@@ -37,8 +38,8 @@ from .common import Kept, slices, small_batches, table, texts
 
 MARK = "▁"
 #: Words, and parts of words, of a generation whose encodings are kept in each worker.
-KEPT_WORDS = 90_000
-KEPT_PAIRS = 200_000
+KEPT_WORDS = 130_000
+KEPT_PAIRS = 300_000
 #: Arcs of the normaliser that are kept.
 KEPT_ARCS = 200_000
 #: Longer words are not kept.
@@ -187,13 +188,15 @@ class Transducer:
         self.ids = {text: i for i, (text, _, kind) in enumerate(pieces) if kind == 1}
         self.score = {text: score for text, score, kind in pieces if kind == 1}
         self.inside = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
+        self.longest = max(map(len, self.ids))
         self.breaks = any("\n" in text for text in self.ids)
-        self.lexicon: dict = {}
+        # L: by character the next state and the number of the arc that ends there, or -1
+        self.lexicon: dict[str, tuple[dict, int]] = {}
         for text, i in self.ids.items():
             node = self.lexicon
-            for char in text:
-                node = node.setdefault(char, {})
-            node[""] = i
+            for char in text[:-1]:
+                node = node.setdefault(char, ({}, -1))[0]
+            node[text[-1]] = node.get(text[-1], ({}, -1))[0], i
         self.arcs, self.arc_ids, self.strange = [text for text, _, _ in pieces], [[i] for i in range(len(pieces))], {}
         if any(MARK in text.lstrip(MARK) for text in self.ids):
             raise ValueError("a piece has white space behind another character")
@@ -258,43 +261,73 @@ class Transducer:
             known = self.strange[text] = len(self.arcs)
             self.arcs.append(text)
             self.arc_ids.append(self.fallback.path(text))
-            self.lexicon.setdefault(text, {})[""] = known
+            self.lexicon[text] = self.lexicon.get(text, ({}, -1))[0], known
         return known
 
     def path(self, word: str) -> list[int]:
         """The arcs of the shortest path through the word's lattice."""
-        for char in word:
-            if "" not in self.lexicon.get(char, ()):
+        lexicon = self.lexicon
+        for char in set(word):
+            if char not in lexicon or lexicon[char][1] < 0:
                 self.arc(char)
+        return self._free_path(word) if self.kind == 2 else self._least_path(word)
+
+    def _ahead(self, word: str, s: int) -> list[tuple[int, int]]:
+        """The arcs from a position, shortest first, with their ends."""
+        node, out, e = self.lexicon, [], s
+        for char in word[s : s + self.longest]:
+            hit = node.get(char)
+            if hit is None:
+                break
+            e += 1
+            node, arc = hit
+            if arc >= 0:
+                out.append((arc, e))
+        return out
+
+    def _free_path(self, word: str) -> list[int]:
+        """Of weights 0 and infinity: the path without an infinite one, searched in depth, longest arcs first. A position and
+        last arc from which it does not go on are not tried again."""
+        n, fits, arcs, ahead = len(word), self.fits, self.arcs, self._ahead
+        if len(fits) >= KEPT_PAIRS:
+            fits.clear()
+        path, before, left, tried = [], -1, [ahead(word, 0)], set()
+        while left:
+            todo = left[-1]
+            if not todo:
+                left.pop()
+                if path:
+                    path.pop()
+                    before = path[-1] if path else -1
+                continue
+            arc, e = todo.pop()
+            if (arc, e) in tried:
+                continue
+            pair = before << 32 | arc
+            fit = fits.get(pair)
+            if fit is None:
+                fit = fits[pair] = self.follows(arcs[before], arcs[arc]) if path else self.history(arcs[arc]) is not None
+            if not fit:
+                continue
+            path.append(arc)
+            if e == n:
+                return path
+            tried.add((arc, e))
+            before = arc
+            left.append(ahead(word, e))
+        raise ValueError(f"no path through {word!r}")
+
+    def _least_path(self, word: str) -> list[int]:
+        """Of any weights: by the least weight to each position."""
         n = len(word)
         last, came, cost = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        lexicon, fits, bpe, arcs = self.lexicon, self.fits, self.kind == 2, self.arcs
         for s in range(n):
-            before = last[s]
-            if before < 0 and s:
+            if last[s] < 0 and s:
                 continue
-            pair, node, e = before << 32, lexicon, s
-            while e < n:
-                node = node.get(word[e])
-                if node is None:
-                    break
-                e += 1
-                arc = node.get("", -1)
-                if arc < 0:
-                    continue
-                if bpe:
-                    if last[e] < 0:
-                        fit = fits.get(pair + arc)
-                        if fit is None:
-                            fit = fits[pair + arc] = self.follows(arcs[before], arcs[arc]) if s else self.history(arcs[arc]) is not None
-                        if fit:
-                            last[e], came[e] = arc, s
-                else:
-                    weight = cost[s] - self.score.get(arcs[arc], self.unknown_score)
-                    if last[e] < 0 or weight < cost[e]:
-                        last[e], came[e], cost[e] = arc, s, weight
-        if len(fits) >= KEPT_PAIRS:
-            fits.clear()
+            for arc, e in self._ahead(word, s):
+                weight = cost[s] - self.score.get(self.arcs[arc], self.unknown_score)
+                if last[e] < 0 or weight < cost[e]:
+                    last[e], came[e], cost[e] = arc, s, weight
         out, e = [], n
         while e:
             out.append(last[e])
