@@ -1,4 +1,8 @@
-"""The registered queries: each operator over whole tables. Session = source of a document or user of an event."""
+"""The registered queries: each operator over whole tables. Session = source of a document or user of an event.
+
+Defined results: a null text has no lines, tokens or words, and a null cut; an empty text has no lines; ties go to the smaller
+id; repeated rows are rows like others; empty tables give empty results, and one row where a query sums all up.
+"""
 
 from __future__ import annotations
 
@@ -234,7 +238,7 @@ def auc_length(spark: SparkSession, sf: str) -> DataFrame:
 
 def _query_vector(rows: DataFrame) -> tuple[list[float], int]:
     first = rows.orderBy("vec_id").first()
-    return first.embedding, first.label
+    return ([0.0], None) if first is None else (first.embedding, first.label)
 
 
 def auc_embedding(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,10 +34,12 @@ def session_lines(files: DataFrame) -> DataFrame:
 def write_sessions(lines: DataFrame, folder: str) -> None:
     """lines(session_id, line_no, line): a file <session_id>.jsonl for each session in the folder. Lines are sorted within their
     session's partition and written as they come; a repeated attempt writes the same file again."""
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(top, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        fs.create_dir(top, recursive=True)
+        fs, top = pafs.FileSystem.from_uri(uri)
         name, out = None, None
         for batch in batches:
             for session, line in zip(batch.column("session_id").to_pylist(), batch.column("line").to_pylist()):
