@@ -1,21 +1,27 @@
-"""What the corpus operators share: tables, the shared folder, and files on any file system that Arrow opens."""
+"""What the corpus operators share: tables, rows by number, and files on any file system that Arrow opens."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts run from a word to hundreds of kilobytes, so batches stay small.
-BATCH_ROWS = 1000
-_runs: list[tuple[SparkSession, str]] = []
+from ..sources.storage import fresh, stored
+
+__all__ = ["Kept", "dealt", "few", "fresh", "numbered", "open_fs", "slices", "small_batches", "stored", "table", "texts"]
+
+#: Rows and bytes of an Arrow batch. Texts run from a word to hundreds of kilobytes, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows of ids that are broadcast, at most: 16 MB.
+FEW = 2_000_000
+#: Rows of a file, as a power of two, for which row numbers have room.
+FILE_ROWS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,47 +34,35 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Batches of that size from here on in the session. Spark reads the setting when a plan runs, which is after the
+    operator returned it, so it cannot be put back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
-            current = context._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    return folder.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the program ends."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
-    _runs.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _runs:
-        try:
-            if spark.sparkContext._jsc is None:
-                continue
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone; the folder then stays for its owner's clean-up
-            return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as a struct) and id: a number of its own for each row, the same whenever it is read. It is
+    made of the file's place in the sorted list of files and the row's place in it; a table that is not read from
+    files is written first."""
+    spark, row = docs.sparkSession, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column hides the place in the file")
+        rows = docs.select(row, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        files = rows.select("file").distinct()
+    except AnalysisException:
+        rows = stored(docs.select(row), "rows").select("row", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        files = rows.select("file").distinct()
+    paths = sorted(r.file for r in files.collect())  # as many as there are files
+    places = spark.createDataFrame(list(enumerate(paths)), "n long, file string")
+    return rows.join(F.broadcast(places), "file").select("row", (F.shiftleft("n", FILE_ROWS) + F.col("at")).alias("id"))
+
+
+def few(ids: DataFrame, name: str) -> DataFrame:
+    """A table of ids, written, and marked for broadcast if it has at most FEW rows; so what it is joined to need not be
+    shuffled. A larger one is left to Spark."""
+    ids = stored(ids, name)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 def dealt(files: DataFrame) -> DataFrame:
@@ -97,6 +91,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system. A worker lives on after a task, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Kept(dict):

@@ -20,13 +20,15 @@ their own; very long texts are read whole; repeated rows count each; an empty ta
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import slices, small_batches, stored, table
 
 LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW, SYMBOLS, SPACE = 8, "#*$%&|<>", " \t\n\v\f\r"
@@ -96,22 +98,39 @@ def measure(text: str | None) -> dict:
     return out | dict(zip(FEATURES, vector, strict=True))
 
 
-def _measured(column: str) -> Column:
-    def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in text], columns=[*COUNTS, "base_failed", *FEATURES])
+def measured(docs: DataFrame, row: Column) -> DataFrame:
+    """docs(text, lang, source): row, lang, source, m (the statistics). Texts are measured once; what a task has measured is
+    written with the row."""
+    own = docs.select(row.alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
-    run.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, STATS)(column)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.struct([*((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), *((f, pa.float64()) for f in FEATURES)])
+        for batch in slices(batches):
+            stats = pa.array([measure(t) for t in batch.column("text").to_pylist()], kinds)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "lang", "source")), stats], ["row", "lang", "source", "m"])
 
+    schema = own.drop("text").withColumn("m", F.lit(None).cast(f"struct<{STATS.replace(' long', ':long').replace(' double', ':double').replace(' boolean', ':boolean')}>")).schema
+    return own.mapInArrow(run, schema)
 
-def _moments(cells: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+
+class Cells(NamedTuple):
+    """Rows of a group by cell: how many, their sums, and the sums of their products (of features i and j, j up to i)."""
+
+    n: np.ndarray
+    sums: np.ndarray
+    products: np.ndarray
+
+    def some(self, of: np.ndarray) -> Cells:
+        return Cells(self.n[of], self.sums[of], self.products[of])
+
+
+def _moments(cells: Cells) -> tuple[float, np.ndarray, np.ndarray]:
     """Rows, mean and covariance of the rows in some cells."""
-    d, n = len(FEATURES), float(cells["n"].sum())
-    mean = cells[[f"s{i}" for i in range(d)]].to_numpy().sum(0) / n
+    d, n = len(FEATURES), float(cells.n.sum())
+    mean = cells.sums.sum(0) / n
     second = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i + 1):
-            second[i, j] = second[j, i] = cells[f"p{i}{j}"].sum() / n
+    second[np.tril_indices(d)] = cells.products.sum(0) / n
+    second = second + np.tril(second, -1).T
     return n, mean, second - np.outer(mean, mean)
 
 
@@ -124,19 +143,18 @@ def _distances(points: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndar
     return np.einsum("ij,jk,ik->i", away, np.linalg.inv(_floored(cov)), away)
 
 
-def _half(cells: pd.DataFrame, points: np.ndarray, far: np.ndarray) -> np.ndarray:
+def _half(cells: Cells, points: np.ndarray, far: np.ndarray) -> np.ndarray:
     """The cells that hold the nearer half of the rows."""
     order = np.lexsort((*points.T, far))
-    before = np.cumsum(cells["n"].to_numpy()[order]) - cells["n"].to_numpy()[order]
-    out = np.zeros(len(cells), bool)
-    out[order[before < (cells["n"].sum() + len(FEATURES) + 1) / 2]] = True
+    before = np.cumsum(cells.n[order]) - cells.n[order]
+    out = np.zeros(len(cells.n), bool)
+    out[order[before < (cells.n.sum() + len(FEATURES) + 1) / 2]] = True
     return out
 
 
-def determinant_estimate(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of a group, from its cells (n, sums s*, products p**)."""
-    points = cells[[f"s{i}" for i in range(len(FEATURES))]].to_numpy() / cells[["n"]].to_numpy()
-    weight = cells["n"].to_numpy()
+def determinant_estimate(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group, from its cells."""
+    points, weight = cells.sums / cells.n[:, None], cells.n
 
     def middle(values: np.ndarray) -> float:
         order = np.argsort(values, kind="stable")
@@ -150,12 +168,12 @@ def determinant_estimate(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for far in starts:
         own = _half(cells, points, far)
         for _ in range(30):
-            _, mean, cov = _moments(cells[own])
+            _, mean, cov = _moments(cells.some(own))
             after = _half(cells, points, _distances(points, mean, cov))
             if (after == own).all():
                 break
             own = after
-        _, mean, cov = _moments(cells[own])
+        _, mean, cov = _moments(cells.some(own))
         size = float(np.linalg.slogdet(_floored(cov))[1])
         if best is None or size < best[0] - 1e-12:
             best = size, mean, cov
@@ -164,29 +182,32 @@ def determinant_estimate(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     cov = cov * max(1.0, middle(_distances(points, mean, cov)) / MIDDLE)
     inner = _distances(points, mean, cov) <= INNER
     if inner.any():
-        _, mean, cov = _moments(cells[inner])
+        _, mean, cov = _moments(cells.some(inner))
     return mean, _floored(cov)
 
 
-def _fit(cells: pd.DataFrame) -> pd.DataFrame:
-    key = cells.iloc[0]
-    n = int(cells["n"].sum())
-    if n < LEAST_ROWS:
-        mean, inverse = None, None
-    else:
-        mean, cov = determinant_estimate(cells.sort_values([f"c{i}" for i in range(len(FEATURES))], kind="stable"))
+def _fit(table: pa.Table) -> pa.Table:
+    """A group's estimate; nulls if it is too small for one."""
+    d = range(len(FEATURES))
+    column = lambda c: table.column(c).to_numpy()
+    order = np.lexsort([column(f"c{i}") for i in reversed(d)])
+    cells = Cells(column("n"), np.column_stack([column(f"s{i}") for i in d]), np.column_stack([column(f"p{i}{j}") for i in d for j in range(i + 1)])).some(order)
+    mean, inverse = None, None
+    if cells.n.sum() >= LEAST_ROWS:
+        mean, cov = determinant_estimate(cells)
         mean, inverse = mean.tolist(), np.linalg.inv(cov).ravel().tolist()
-    return pd.DataFrame({"level": [key["level"]], "lang": [key["lang"]], "source": [key["source"]], "mean": [mean], "inverse": [inverse]})
+    kinds = pa.schema([("level", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))])
+    return pa.Table.from_pylist([{**{c: table.column(c)[0].as_py() for c in ("level", "lang", "source")}, "mean": mean, "inverse": inverse}], kinds)
 
 
-def estimates(measured: DataFrame) -> DataFrame:
-    """measured(lang, source, and m with the features). Returns lang, source, mean, inverse for each pair of them; null
+def estimates(rows: DataFrame) -> DataFrame:
+    """rows(lang, source, and m with the features). Returns lang, source, mean, inverse for each pair of them; null
     arrays where nothing may be rejected. Rows that fail the base rules don't count."""
     d = range(len(FEATURES))
     value = [F.col(f"m.{f}") for f in FEATURES]
     cell = [F.least(F.greatest(F.floor(v / w), F.lit(a)), F.lit(a + SPAN - 1)).cast("int").alias(f"c{i}") for i, (v, w, a) in enumerate(zip(value, STEP, FIRST))]
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(value)), *(F.sum(value[i] * value[j]).alias(f"p{i}{j}") for i in d for j in range(i + 1))]
-    cells = stored(measured.where("not m.base_failed").groupBy("lang", "source", *cell).agg(*sums), "cells")
+    cells = stored(rows.where("not m.base_failed").groupBy("lang", "source", *cell).agg(*sums), "cells")
     again = [F.sum(c).alias(c) for c in cells.columns if c[0] in "nsp" and c != "source"]
     nothing = F.lit(None).cast("string")
     own = [f"c{i}" for i in d]
@@ -195,7 +216,7 @@ def estimates(measured: DataFrame) -> DataFrame:
         .unionByName(cells.groupBy("lang", *own).agg(*again).withColumns({"source": nothing, "level": F.lit(1)}))
         .unionByName(cells.groupBy(*own).agg(*again).withColumns({"lang": nothing, "source": nothing, "level": F.lit(2)}))
     )
-    fits = stored(levels.groupBy("level", "lang", "source").applyInPandas(_fit, "level int, lang string, source string, mean array<double>, inverse array<double>"), "fits")
+    fits = stored(levels.groupBy("level", "lang", "source").applyInArrow(_fit, "level int, lang string, source string, mean array<double>, inverse array<double>"), "fits")
     level = lambda k: fits.where(F.col("level") == k).drop("level").alias(f"f{k}")
     pairs = level(0).join(level(1), F.expr("f0.lang <=> f1.lang"), "left")
     overall = fits.where("level = 2").first()  # one row
@@ -213,14 +234,13 @@ def _verdict() -> Column:
 
 
 def judged(docs: DataFrame, *keep: str) -> DataFrame:
-    """row (the columns of docs that are named, or all), m (the statistics) and kept, for every row. Texts are measured once:
-    rows and statistics are written before the estimates are made."""
+    """row (the columns of docs that are named, or all), m (the statistics) and kept, for every row. Rows and statistics are
+    written before the estimates are made, so texts are measured once."""
     small_batches(docs.sparkSession)
-    row = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row")
-    key = lambda c: F.col(c).cast("string").alias(c)
-    measured = stored(docs.select(row, key("lang"), key("source"), _measured("text").alias("m")), "measured")
-    fits = estimates(measured.select("lang", "source", "m")).alias("e")
-    joined = measured.alias("d").join(fits, F.expr("d.lang <=> e.lang and d.source <=> e.source"), "left")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns))
+    rows = stored(measured(docs, row), "measured")
+    fits = estimates(rows.select("lang", "source", "m")).alias("e")
+    joined = rows.alias("d").join(fits, F.expr("d.lang <=> e.lang and d.source <=> e.source"), "left")
     return joined.select("row", "m", _verdict().alias("kept"))
 
 
