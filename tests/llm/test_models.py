@@ -93,6 +93,19 @@ def test_lm_does_not_depend_on_partitions(spark, sf, monkeypatch):
         assert one[:3] == other[:3] and math.isclose(one[3], other[3], rel_tol=1e-9) and math.isclose(one[4], other[4], rel_tol=1e-5)
 
 
+def test_lm_texts_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 2000)
+    rows = [(i, f"some words {i % 7} of text {i}") for i in range(60)] + [(99, "long words of text " * 3000), (99, "long words of text " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*lm.tokens(t), b"\0end"])
+    n, v = sum(c.values()), len(c)
+    got = lm.scores(docs).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 99}) == 1
+    for r in got:
+        words = [*lm.tokens(dict(rows)[r.doc_id]), b"\0end"]
+        assert r.n_tokens == len(words) and r.train_tokens == n and math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), rel_tol=1e-9)
+
+
 def test_lm_defined_results(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "a b", 6), (1, "a", 7)], "doc_id long, text string, chunk int")
     assert sorted(r.n_tokens for r in lm.scores(docs).collect()) == [1, 2, 3]

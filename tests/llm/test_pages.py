@@ -2,6 +2,8 @@ import hashlib
 import io
 import zlib
 
+import duckdb
+
 from logloom.llm import lines as L
 from logloom.llm import warc as W
 
@@ -49,3 +51,28 @@ def test_boilerplate_lines(spark):
     assert got[0] == (["own 0", ""], 2, 13)
     assert got[99] == (["menu"], 0, 13) and got[50] == (["menu"], 0, 1) and got[51] == (["menu", "x"], 0, 1)
     assert L.cleaned(pages.limit(0)).count() == 0
+
+
+def test_op10_on_odd_pages_equals_sql(spark, tmp_path):
+    page = lambda own: f"<p>Menu</p><p>{own}</p>\n<br> Menu <i>Foot</i>"
+    rows = [(i, f"http://A.example/{i}", page(f"own {i}"), 1) for i in range(6)]
+    rows += [(20, "http://a.example/x", None, 1), (21, "http://a.example/y", "", 1), (22, None, page("no url"), 1), (23, "http://a.example/z", "Menu", 1), (5, "http://A.example/5", page("own 5"), 1)]
+    rows += [(30 + i, f"http://three.example/{i}", page(f"one of three {i}"), 1) for i in range(3)] + [(40 + i, f"http://two.example/{i}", page(f"of two {i}"), 1) for i in range(2)]
+    rows += [(50, "http://a.example/long", "<p>Menu</p>" + "".join(f"<p>line {i}</p>" for i in range(30_000)), 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, host int").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(L.OP10_SQL)
+    names = [d[0] for d in cur.description]
+    out = L.op10_line_dedup(spark, str(tmp_path))
+    got = sorted((tuple(r[n] for n in names) for r in out.collect()), key=repr)
+    assert got == sorted(cur.fetchall(), key=repr)
+    by_id = {r.page_id: r for r in out.collect()}
+    assert by_id[0].text == "own 0" and by_id[31].text == "one of three 1" and by_id[40].n_dropped == 0 and by_id[23].text == "Menu" and by_id[50].n_dropped == 1
+
+
+def test_a_very_long_page(spark):
+    long = "".join(f"<p>line {i}</p>" for i in range(150_000))
+    pages = spark.createDataFrame([(1, "http://a.example", long, 1), (2, "http://a.example", long, 1)], "page_id long, url string, html string, refers_to int")
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.read(W.normalise(W.write(pages))).collect())
+    assert got == [(1, "revisit", 2, len(long)), (2, "response", None, len(long))]

@@ -43,3 +43,24 @@ def test_defined_results(spark):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in S.read(S.write(docs)).collect())
     assert [x[1] for x in got] == [None, -5, 3, 3] and sum(x[2] for x in got) == 4 + 4
     assert S.read(S.write(docs.limit(0))).count() == 0
+
+
+def test_several_shards_are_read_in_order(spark):
+    # all rows of the null id, a third of the table, are dealt out as well; one text is very long
+    rows = [(None, f"text {i} of nobody", 1) for i in range(200)] + [(i, f"text {i} of its own", 2) for i in range(400)] + [(400, "very long " * 60_000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = S.write(docs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    shards = manifest.orderBy("start").collect()
+    assert len(shards) > 2 and sum(s.first_id is None for s in shards) > 1
+    assert [s.start for s in shards] == [sum(x.n_ids for x in shards[:k]) for k in range(len(shards))]
+    got = sorted((r.start, r.n_tokens, r.doc_id is not None, r.doc_id or 0) for r in S.read(manifest).collect())
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:])) and [x[2:] for x in got] == sorted(x[2:] for x in got)
+    own = S.Encoder(S.tokenizer_path())
+    assert sum(x[1] for x in got) == sum(len(own.encode([t])[0]) // own.width + 1 for _, t, _ in rows)
+    last = S.Shard(shards[-1].path)
+    assert len(last.get(400)) == got[-1][1] > 100_000
