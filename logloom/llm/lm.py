@@ -25,13 +25,13 @@ very long texts are a chunk of their own; an empty table gives an empty result;
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ SAMPLE, EPOCHS = 500, 3
 #: Tokens of a step, noise groups of a step, noise words of a group and step, noise for each token, and learning rate.
 BATCH, NOISE, NOISE_WORDS, RATIO, RATE = 32_768, 24, 12, 8, 0.08
 #: Bytes of text in a chunk, tokens that are scored at once, and scores held at once.
-CHUNK, PIECE, SCORES = 16 << 20, 1 << 17, 1 << 22
+CHUNK, PIECE, SCORES = 12 << 20, 1 << 16, 1 << 21
 #: Tokens of a block at least, blocks at most, and blocks that are averaged in one task.
 BLOCK_TOKENS, MOST_BLOCKS, FAN = 4_000_000, 4096, 8
 
@@ -269,15 +269,16 @@ def chunks(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(_joined(batches), most=CHUNK):
-            chunk, numbers, counts = uuid.uuid4().int >> 65, {}, []
+        task = TaskContext.get().partitionId()
+        for i, batch in enumerate(slices(_joined(batches), most=CHUNK)):
+            chunk, numbers, counts = task << 32 | i, {}, []
             rows = []
             for doc_id, out, place_, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "place", "text"))):
-                ids = np.array([numbers.setdefault(w, len(numbers)) for w in tokens(text)], np.int64)
+                ids = np.array([numbers.setdefault(w, len(numbers)) for w in tokens(text)], np.int32)
                 rows.append((doc_id, out, place_, ids))
                 if not out:
                     counts.append(ids)
-            counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(numbers))
+            counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *counts]), minlength=len(numbers))
             # frequent tokens get small numbers, which pack better
             order = np.argsort(-counts, kind="stable")
             place = np.empty_like(order)
@@ -292,7 +293,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     pa.array([*(r[1] for r in rows), None], pa.bool_()),
                     pa.array([*(r[2] for r in rows), None], pa.int64()),
                     pa.array([*packed, None], pa.binary()),
-                    pa.array([None] * n + [[names[i] for i in order]], pa.list_(pa.binary())),
+                    pa.array([None] * n + [[names[j] for j in order]], pa.list_(pa.binary())),
                     pa.array([None] * n + [counts[order].tolist()], pa.list_(pa.int64())),
                 ],
                 ["chunk", "doc_id", "held_out", "place", "ids", "tokens", "counts"],
