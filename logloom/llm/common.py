@@ -17,7 +17,7 @@ from ..sources.storage import fresh, stored
 __all__ = ["Kept", "dealt", "few", "fresh", "numbered", "open_fs", "slices", "small_batches", "stored", "table", "texts"]
 
 #: Rows and bytes of an Arrow batch. Texts run from a word to hundreds of kilobytes, so batches stay small.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows of ids that are broadcast, at most: 16 MB.
 FEW = 2_000_000
 #: Rows of a file, as a power of two, for which row numbers have room.

@@ -38,7 +38,7 @@ from .common import Kept, slices, small_batches, table, texts
 
 MARK = "▁"
 #: Words, and parts of words, of a generation whose encodings are kept in each worker.
-KEPT_WORDS = 130_000
+KEPT_WORDS, KEPT_PARTS = 130_000, 80_000
 KEPT_PAIRS = 300_000
 #: Arcs of the normaliser that are kept.
 KEPT_ARCS = 200_000
@@ -407,7 +407,7 @@ class _Parts(Kept):
     """Ids by part of a word."""
 
     def __init__(self, transducer: Transducer):
-        super().__init__(KEPT_WORDS)
+        super().__init__(KEPT_PARTS)
         self.of = transducer
 
     def __missing__(self, part: str) -> bytes:
