@@ -137,7 +137,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
     ask, store = keyed(0).withColumnRenamed("fp", "a"), keyed(1).withColumnRenamed("fp", "b").withColumnRenamed("key", "at")
     near = (F.col("key") == F.col("at")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
-    return ask.join(store, near).select("a", "b").distinct()
+    # never broadcast: Spark takes the keys' size for that of the few columns they are made of, which is far too small
+    return ask.join(store.hint("merge"), near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

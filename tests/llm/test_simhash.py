@@ -54,6 +54,13 @@ def test_every_link_is_found(spark):
     assert got == want and want
 
 
+def test_keys_are_not_broadcast(spark):
+    found = S.links(spark.createDataFrame([(i,) for i in range(64)], "fp long"))
+    assert found.count() > 0 and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_codewords_near_neighbours():
     nearest, counts, _ = S.golay()
     assert {int(c) for c in counts} == {1, 6} and int(np.bitwise_count(nearest.astype(np.uint64)).max()) == 3
