@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id, a null
+    """One document of each group of near copies (by the method of operator 3, five-word shingles, similarity 0.8): that with the smallest doc_id, a null
     one last; of several with it, the one with the least hash of all its columns."""
     rows = numbered(docs)
     groups = stored(copies.near_copies(rows.select("id", "row.text")), "groups")

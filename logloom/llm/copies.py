@@ -1,14 +1,26 @@
-"""Near copies for the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
-
-1. Sketches. Texts with equal sets of shingles are one node. A node has BANDS keys, each a hash of ROWS minimum hashes. Two
-   sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: of pairs at exactly 0.8 about 1 in 8 million
-   shares none, of pairs at 0.85 fewer than 1 in 10 billion.
-2. Links. Every node is compared with the least node under each of its keys, which joins a large group in one go. Then
-   those that share a key and are still in different components are compared, within the join: only links leave it. So
-   a group's pairs are never written; but a group of which many members are no copies of its least one costs time with
-   the square of its size.
-3. Verification. A pair is linked if the similarity of its shingle sets, from the texts, is 0.8 or more. Links become
-   components.
+"""Near copies for the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, found by the
+method of operator 3 (SimHash fingerprints that meet under Golay codewords, links verified, components) at a wider radius.
+
+Such texts have about 0.15 of the bits of their fingerprints different, which no four of 64 bits cover. So fingerprints are
+longer and meet under more words:
+
+1. Fingerprints. Texts with equal sets of shingles are one node. Its fingerprint has BITS majority votes over the hashes of
+   its shingles. WORDS words of 23 bits are read from it, each bit in two or three of them, and each word stands for its
+   decoding, the one codeword of the Golay code within 3 bits. Two texts at exactly 0.8 share the decoding of a word with
+   probability 0.121. Of 960,000 simulated pairs none shared fewer than two of all WORDS, one shared two and six three; as
+   the numbers fall, about 1 in 30 million shares none. Closer pairs share more. In texts of eight and nine words (four of
+   five shingles) ties are frequent, so sets of five also stand under each four of their shingles, which is exact. Smaller
+   sets are similar only if they are equal.
+2. Leads. First, nodes that share two decodings at once are compared with the least and the greatest node that do, which
+   joins a large group in one go.
+3. Links. Then nodes that share a decoding and are in different components leave the join as pairs if NEAR or fewer of 128 bits
+   differ, and FAR or fewer of all where both have near ones already.
+4. Verification. Of these, pairs within FAR bits of the whole fingerprint are linked if the similarity of their shingle
+   sets, from the texts, is 0.8 or more. Links become components.
+
+Two that are no copies share a decoding of a word with probability 1/4096, and the join looks at their 128 bits; this part
+grows with the square of the number of nodes. A group of which many members are no copies of its leads costs time, and
+pairs of numbers, with the square of its size.
 
 Defined results: words are as in operator 3 (ASCII case and blanks); a text of fewer than five words has one shingle, the
 whole; null texts are empty; texts without words are equal; an empty table gives an empty result.
@@ -26,12 +38,25 @@ from pyspark.sql import functions as F
 
 from .common import few, slices, small_batches, stored
 from .graph import components
-
-SHINGLE, BANDS, ROWS = 5, 40, 5
-#: Shingles whose minimum hashes are looked for at once.
-BLOCK = 4096
-_odd = np.random.default_rng(5).integers(0, 1 << 63, SHINGLE + BANDS * ROWS + ROWS + BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-PLACES, FACTORS, JOINTS, STARTS = np.split(_odd, np.cumsum([SHINGLE, BANDS * ROWS, ROWS]))
+from .simhash import golay, syndrome
+
+SHINGLE, LONGS, WORD = 5, 23, 23
+BITS, WORDS = 64 * LONGS, 160
+#: Keys of two words.
+JOINT = 32
+#: Bits that may differ: of the first 128, and of all. At 0.8 they are 0.1515 of them; by the binomial law more differ in 1 pair
+#: of some 10^7.
+NEAR, FAR = 44, 304
+#: Shingles whose votes are counted at once: a lane of eight bits holds so many.
+BLOCK = 255
+_rng = np.random.default_rng(5)
+_odd = _rng.integers(0, 1 << 63, SHINGLE + LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
+PLACES, FACTORS = np.split(_odd, [SHINGLE])
+#: What a bit is when the votes are equal, and the bits of each word.
+TIES = _rng.integers(0, 2, BITS)
+ORDER = np.concatenate([_rng.permutation(BITS) for _ in range(3)])[: WORDS * WORD]
+LANES = np.uint64(0x0101010101010101)
+SHIFTS = np.arange(8, dtype=np.uint64)[:, None, None]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,12 +75,39 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(sum(own[j : j + n] * PLACES[j] for j in range(SHINGLE))))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: LONGS numbers of 64 bits."""
+    votes = np.zeros((8, LONGS, 8), np.int64)  # by bit of a byte, number, byte
     for start in range(0, len(own), BLOCK):
-        least = np.minimum(least, (own[start : start + BLOCK, None] * FACTORS).min(0))
-    return _mixed((least.reshape(BANDS, ROWS) * JOINTS).sum(1, dtype=np.uint64) ^ STARTS)
+        hashes = _mixed(own[start : start + BLOCK, None] * FACTORS)
+        votes += (hashes >> SHIFTS & LANES).sum(1, dtype=np.uint64).view(np.uint8).reshape(votes.shape)
+    votes = votes.transpose(1, 2, 0).reshape(-1)
+    return np.packbits(2 * votes + TIES > len(own), bitorder="little").view(np.uint64)
+
+
+def codes(fps: np.ndarray) -> np.ndarray:
+    """The decodings of the words of each fingerprint, as the 12 bits that tell a codeword."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    packed = np.packbits(bits[:, ORDER].reshape(len(fps), WORDS, WORD), axis=2, bitorder="little").astype(np.int64)
+    words = packed[..., 0] | packed[..., 1] << 8 | packed[..., 2] << 16
+    return (words ^ golay()[0][syndrome(words)]) >> 11
+
+
+def word_keys(fps: np.ndarray) -> np.ndarray:
+    """A key for each word."""
+    return np.arange(WORDS) << 12 | codes(fps)
+
+
+def joint_keys(fps: np.ndarray) -> np.ndarray:
+    """Keys of two words each."""
+    own = codes(fps)[:, : 2 * JOINT]
+    return np.arange(JOINT) << 24 | own[:, ::2] << 12 | own[:, 1::2]
+
+
+def fours(own: np.ndarray) -> np.ndarray:
+    """Of a set of four shingles its hash, of a set of five those of its sets of four; of others none."""
+    sets = [own] if len(own) == SHINGLE - 1 else [np.delete(own, i) for i in range(SHINGLE)] if len(own) == SHINGLE else []
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -64,16 +116,33 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, digest (of the set of shingles), n (its size), keys."""
+    """id, digest (of the set of shingles), n (its size), fp, fours."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets])], ["id", "digest", "n", "keys"])
+            columns = [batch.column("id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists([fingerprint(s) for s in sets]), _lists([fours(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "fp", "fours"])
+
+    return docs.mapInArrow(run, "id long, digest binary, n long, fp array<long>, fours array<long>")
+
+
+def keyed(nodes: DataFrame, joint: bool) -> DataFrame:
+    """nodes(node, n, root, whole, fp, fours): node, n, root, whole, x and y (the first 128 bits) for each key, of two words or of one."""
 
-    return docs.mapInArrow(run, "id long, digest binary, n long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+            keys = (joint_keys if joint else word_keys)(fps).view(np.uint64)
+            own = batch.select(["node", "n", "root", "whole", "fours"])
+            x, y = (pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(2))
+            yield pa.RecordBatch.from_arrays([*own.columns, x, y, _lists(list(keys))], [*own.schema.names, "x", "y", "keys"])
+
+    rows = nodes.mapInArrow(run, "node long, n long, root long, whole array<long>, fours array<long>, x long, y long, keys array<long>")
+    keys = f"if(n < {SHINGLE}, cast(array() as array<bigint>), keys)"
+    return rows.select("node", "n", "root", "whole", "x", "y", F.explode(F.expr(keys if joint else f"concat({keys}, fours)")).alias("key"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -98,26 +167,54 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.where(_similar("x", "y")).select("a", "b").distinct(), "links")
 
 
+def close(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b): those whose sizes and fingerprints allow the similarity."""
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    apart = f"aggregate(zip_with(fp_a, fp_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FAR}"
+    return stored(pairs.join(one, "a").join(two, "b").where(f"{_alike('n_a', 'n_b')} and (n_a + n_b < {2 * SHINGLE} or {apart})").select("a", "b"), "close")
+
+
+def _alike(m: str, n: str) -> str:
+    """SQL: whether sets of such sizes can be similar."""
+    return f"5 * least({m}, {n}) >= 4 * greatest({m}, {n})"
+
+
+def led(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes and the leads of their keys of two words, where near by their first 128 bits."""
+    rows = keyed(nodes, True).select("key", F.struct("node", "x", "y").alias("own")).repartition("key")  # dealt by key once
+    leads = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo.node < hi.node")
+    pairs = rows.join(leads.hint("merge"), "key").select("own", F.explode(F.array("lo", "hi")).alias("lead")).where(f"own.node <> lead.node and {_near('own', 'lead')}")
+    return pairs.select(F.least("own.node", "lead.node").alias("a"), F.greatest("own.node", "lead.node").alias("b")).distinct()
+
+
+def _near(p: str, q: str) -> str:
+    return f"bit_count({p}.x ^ {q}.x) + bit_count({p}.y ^ {q}.y) <= {NEAR}"
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """nodes, with whole (fp, or null): a, b (a < b): nodes of different roots that share a key and are near by their first
+    128 bits; where both have whole, by all."""
+    rows = keyed(nodes, False)
+    apart = " + ".join(f"bit_count(get(p.whole, {i}) ^ get(q.whole, {i}))" for i in range(LONGS))
+    by_bits = f"{_near('p', 'q')} and (p.whole is null or q.whole is null or {apart} <= {FAR})"
+    pairs = rows.alias("p").join(rows.hint("merge").alias("q"), F.expr(f"p.key = q.key and p.node < q.node and coalesce(p.root, p.node) <> coalesce(q.root, q.node) and {_alike('p.n', 'q.n')} and (p.n + q.n < {2 * SHINGLE} or {by_bits})"))
+    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """docs(id, text), ids without nulls or repeats: id, component_id (smallest id in reach), for every id."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     prints = stored(sketches(docs), "sketches")
     least = stored(prints.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     members = prints.select("id", "digest").join(least, "digest").select("id", "node")
-    firsts = prints.join(least.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi")
-    # dealt by key once: the leads are found and joined where the keys are
-    keyed = firsts.select(F.col("id").alias("node"), "n", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
-    leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    shared = stored(keyed.join(leads, "key"), "shared")
-    alike = lambda m, n: f"5 * least({m}, {n}) >= 4 * greatest({m}, {n})"
-    first = stored(shared.where(f"node <> lead and {alike('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "first")
-    links = verified(docs, first)
-    rooted = shared.join(components(links).withColumnRenamed("component", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rooted = stored(rooted.join(mixed, "key", "left_semi"), "mixed")
-    # what shares a key and is not joined yet is compared in the join, which only links leave
-    rooted = rooted.join(sets_of(docs, rooted.select(F.col("node").alias("id"))).withColumnRenamed("id", "node"), "node")
-    more = rooted.alias("p").join(rooted.alias("q"), F.expr(f"p.key = q.key and p.root < q.root and {alike('p.n', 'q.n')} and {_similar('p.own', 'q.own')}"))
-    links = links.unionByName(more.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
+    firsts = prints.where(f"n >= {SHINGLE - 1}").join(least.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi")
+    nodes = stored(firsts.select(F.col("id").alias("node"), "n", "fp", "fours"), "firsts")
+    pairs = stored(led(nodes.withColumn("root", F.expr("cast(null as bigint)")).withColumn("whole", F.expr("cast(null as array<bigint>)"))), "led")
+    links = verified(docs, close(nodes, pairs))
+    # nodes with near ones are few, and take their whole fingerprints along
+    dense = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dense").withColumn("dense", F.lit(True))
+    rooted = nodes.join(components(links).withColumnRenamed("component", "root"), "node", "left").join(dense, "node", "left")
+    rooted = rooted.withColumn("whole", F.expr("if(dense, fp, null)"))
+    links = links.unionByName(verified(docs, close(nodes, stored(met(rooted), "met"))))
     rooted = components(links).select("node", F.col("component").alias("root"))
     return members.join(rooted, "node", "left").select("id", F.coalesce("root", "node").alias("component_id"))

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from logloom.llm import copies as K
+from logloom.llm.simhash import syndrome
 
 
 def plain(text):
@@ -50,3 +53,32 @@ def test_stage_drops_a_copy_at_the_limit(spark, sf):
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, near, far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in C.near_dedup(spark, docs, sf).collect()) == [0, 2]
+
+
+def test_words_stand_for_the_nearest_codewords():
+    rng = np.random.default_rng(2)
+    fps = np.array([K.fingerprint(rng.integers(0, 1 << 63, 50, np.uint64)) for _ in range(20)])
+    bits = np.unpackbits(fps.view(np.uint8).reshape(20, -1), axis=1, bitorder="little")[:, K.ORDER].reshape(20, K.WORDS, 23)
+    data = K.codes(fps) << 11
+    assert (np.bitwise_count(data ^ syndrome(data) ^ (bits.astype(np.int64) << np.arange(23)).sum(2)) <= 3).all()
+
+
+def test_similar_sets_meet_under_codewords():
+    rng = np.random.default_rng(4)
+    for shared, one, two in ((5, 0, 1), (8, 1, 1), (8, 0, 2), (80, 10, 10), (80, 0, 20), (400, 50, 50)):
+        for _ in range(40):
+            own = rng.integers(0, 1 << 63, shared + one + two, np.uint64)
+            fps = np.array([K.fingerprint(own[: shared + one]), K.fingerprint(np.concatenate([own[:shared], own[shared + one :]]))])
+            a, b = K.word_keys(fps)
+            apart = np.bitwise_count(fps[0] ^ fps[1])
+            assert (a == b).any() and apart[:2].sum() <= K.NEAR and apart.sum() <= K.FAR
+    for i in range(5):
+        own = np.unique(rng.integers(0, 1 << 63, 5, np.uint64))
+        assert K.fours(np.delete(own, i))[0] in K.fours(own)
+
+
+def test_near_copies_of_eight_and_nine_words(spark):
+    words = [f"{w}{i}" for w in "abc" for i in range(9)]
+    rows = [(k, " ".join(words[9 * (k // 2) :][: 8 + k % 2])) for k in range(6)]
+    got = {r.id: r.component_id for r in K.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
