@@ -14,13 +14,15 @@ longer and meet under more words:
 2. Leads. First, nodes that share two decodings at once are compared with the least and the greatest node that do, which
    joins a large group in one go.
 3. Links. Then nodes that share a decoding and are in different components leave the join as pairs if NEAR or fewer of 128 bits
-   differ, and FAR or fewer of all where both have near ones already.
+   differ, and WIDE or fewer of 512 where both are near leads already. Nodes near CROWD leads or more stand in a large group,
+   where most near pairs are no copies; they take their sets along, each shingle as 16 bits, and leave the join only if
+   these allow the similarity. Shingles that clash are counted as shared, so no link is lost.
 4. Verification. Of these, pairs within FAR bits of the whole fingerprint are linked if the similarity of their shingle
    sets, from the texts, is 0.8 or more. Links become components.
 
 Two that are no copies share a decoding of a word with probability 1/4096, and the join looks at their 128 bits; this part
-grows with the square of the number of nodes. A group of which many members are no copies of its leads costs time, and
-pairs of numbers, with the square of its size.
+grows with the square of the number of nodes. Within a large group the join looks at the sets of all pairs of different
+components, which costs time with the square of its size, but writes only those that may be links.
 
 Defined results: words are as in operator 3 (ASCII case and blanks); a text of fewer than five words has one shingle, the
 whole; null texts are empty; texts without words are equal; an empty table gives an empty result.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import few, slices, small_batches, stored
@@ -44,9 +46,11 @@ SHINGLE, LONGS, WORD = 5, 23, 23
 BITS, WORDS = 64 * LONGS, 160
 #: Keys of two words.
 JOINT = 32
-#: Bits that may differ: of the first 128, and of all. At 0.8 they are 0.1515 of them; by the binomial law more differ in 1 pair
-#: of some 10^7.
-NEAR, FAR = 44, 304
+#: Bits that may differ: of the first 128, of the first 512, and of all. At 0.8 they are 0.1515 of them; by the binomial law more
+#: differ in 1 pair of some 10^7.
+NEAR, WIDE, FAR = 44, 127, 304
+#: Near leads of a node that takes its shingles along, and how many of these it may have.
+CROWD, MOST = 8, 512
 #: Shingles whose votes are counted at once: a lane of eight bits holds so many.
 BLOCK = 255
 _rng = np.random.default_rng(5)
@@ -130,19 +134,19 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, joint: bool) -> DataFrame:
-    """nodes(node, n, root, whole, fp, fours): node, n, root, whole, x and y (the first 128 bits) for each key, of two words or of one."""
+    """nodes(node, n, root, more, own, fp, fours): node, n, root, more, own, x and y (the first 128 bits) for each key, of two words or of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
             keys = (joint_keys if joint else word_keys)(fps).view(np.uint64)
-            own = batch.select(["node", "n", "root", "whole", "fours"])
+            own = batch.select(["node", "n", "root", "more", "own", "fours"])
             x, y = (pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(2))
             yield pa.RecordBatch.from_arrays([*own.columns, x, y, _lists(list(keys))], [*own.schema.names, "x", "y", "keys"])
 
-    rows = nodes.mapInArrow(run, "node long, n long, root long, whole array<long>, fours array<long>, x long, y long, keys array<long>")
+    rows = nodes.mapInArrow(run, "node long, n long, root long, more array<long>, own array<short>, fours array<long>, x long, y long, keys array<long>")
     keys = f"if(n < {SHINGLE}, cast(array() as array<bigint>), keys)"
-    return rows.select("node", "n", "root", "whole", "x", "y", F.explode(F.expr(keys if joint else f"concat({keys}, fours)")).alias("key"))
+    return rows.select("node", "n", "root", "more", "own", "x", "y", F.explode(F.expr(keys if joint else f"concat({keys}, fours)")).alias("key"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,6 +159,28 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(docs.join(few(ids.distinct(), "ids"), "id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
 
 
+def short(own: np.ndarray) -> np.ndarray:
+    """The shingles' first 16 bits, each once."""
+    return np.unique(own >> np.uint64(48)).astype(np.uint16).view(np.int16)
+
+
+def crowded(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends(node, of): node, own (short): the nodes that are near many leads, unless they have very many shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([short(s) if len(s) <= MOST else None for s in sets], pa.list_(pa.int16()))], ["node", "own"])
+
+    return stored(docs.join(few(ends.where(f"of >= {CROWD}").select(F.col("node").alias("id")), "crowd"), "id", "left_semi").mapInArrow(run, "node long, own array<short>"), "short")
+
+
+def _may(p: str, q: str) -> str:
+    """SQL: whether the sets can be similar by their short forms. What clashes within one of them may be shared too."""
+    clash = f"least({p}.n - size({p}.own), {q}.n - size({q}.own))"
+    return f"9 * (size(array_intersect({p}.own, {q}.own)) + {clash}) >= 4 * ({p}.n + {q}.n)"
+
+
 def _similar(x: str, y: str) -> str:
     """SQL: whether two sets of shingles are similar. Four fifths of the union are four ninths of both sizes."""
     return f"9 * size(array_intersect({x}, {y})) >= 4 * (size({x}) + size({y}))"
@@ -163,6 +189,7 @@ def _similar(x: str, y: str) -> str:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(a, b): those whose texts are similar."""
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    pairs = few(pairs, "pairs")  # far smaller than the sets
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     return stored(both.where(_similar("x", "y")).select("a", "b").distinct(), "links")
 
@@ -181,22 +208,27 @@ def _alike(m: str, n: str) -> str:
 
 def led(nodes: DataFrame) -> DataFrame:
     """a, b: nodes and the leads of their keys of two words, where near by their first 128 bits."""
-    rows = keyed(nodes, True).select("key", F.struct("node", "x", "y").alias("own")).repartition("key")  # dealt by key once
-    leads = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo.node < hi.node")
-    pairs = rows.join(leads.hint("merge"), "key").select("own", F.explode(F.array("lo", "hi")).alias("lead")).where(f"own.node <> lead.node and {_near('own', 'lead')}")
+    by_key = Window.partitionBy("key")  # the keys are made and dealt once
+    rows = keyed(nodes, True).select("key", F.struct("node", "x", "y").alias("own"))
+    rows = rows.withColumn("lo", F.min("own").over(by_key)).withColumn("hi", F.max("own").over(by_key)).where("lo.node < hi.node")
+    pairs = rows.select("own", F.explode(F.array("lo", "hi")).alias("lead")).where(f"own.node <> lead.node and {_near('own', 'lead')}")
     return pairs.select(F.least("own.node", "lead.node").alias("a"), F.greatest("own.node", "lead.node").alias("b")).distinct()
 
 
 def _near(p: str, q: str) -> str:
-    return f"bit_count({p}.x ^ {q}.x) + bit_count({p}.y ^ {q}.y) <= {NEAR}"
+    return f"{_first(p, q)} <= {NEAR}"
+
+
+def _first(p: str, q: str) -> str:
+    return f"bit_count({p}.x ^ {q}.x) + bit_count({p}.y ^ {q}.y)"
 
 
 def met(nodes: DataFrame) -> DataFrame:
-    """nodes, with whole (fp, or null): a, b (a < b): nodes of different roots that share a key and are near by their first
-    128 bits; where both have whole, by all."""
+    """nodes, with more (bits 128 to 512, or null) and own (short, or null): a, b (a < b): nodes of different roots that share a
+    key and are near by their first 128 bits; where both have more, by 512; where both have own, by these too."""
     rows = keyed(nodes, False)
-    apart = " + ".join(f"bit_count(get(p.whole, {i}) ^ get(q.whole, {i}))" for i in range(LONGS))
-    by_bits = f"{_near('p', 'q')} and (p.whole is null or q.whole is null or {apart} <= {FAR})"
+    apart = " + ".join([_first("p", "q"), *(f"bit_count(get(p.more, {i}) ^ get(q.more, {i}))" for i in range(6))])
+    by_bits = f"{_near('p', 'q')} and (p.more is null or q.more is null or {apart} <= {WIDE}) and (p.own is null or q.own is null or {_may('p', 'q')})"
     pairs = rows.alias("p").join(rows.hint("merge").alias("q"), F.expr(f"p.key = q.key and p.node < q.node and coalesce(p.root, p.node) <> coalesce(q.root, q.node) and {_alike('p.n', 'q.n')} and (p.n + q.n < {2 * SHINGLE} or {by_bits})"))
     return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
@@ -209,12 +241,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = prints.select("id", "digest").join(least, "digest").select("id", "node")
     firsts = prints.where(f"n >= {SHINGLE - 1}").join(least.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi")
     nodes = stored(firsts.select(F.col("id").alias("node"), "n", "fp", "fours"), "firsts")
-    pairs = stored(led(nodes.withColumn("root", F.expr("cast(null as bigint)")).withColumn("whole", F.expr("cast(null as array<bigint>)"))), "led")
+    pairs = stored(led(nodes.withColumn("root", F.expr("cast(null as bigint)")).withColumn("more", F.expr("cast(null as array<bigint>)")).withColumn("own", F.expr("cast(null as array<smallint>)"))), "led")
     links = verified(docs, close(nodes, pairs))
-    # nodes with near ones are few, and take their whole fingerprints along
-    dense = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dense").withColumn("dense", F.lit(True))
-    rooted = nodes.join(components(links).withColumnRenamed("component", "root"), "node", "left").join(dense, "node", "left")
-    rooted = rooted.withColumn("whole", F.expr("if(dense, fp, null)"))
+    # nodes with near ones are few, and take more of their fingerprints along
+    ends = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("of")), "ends")
+    rooted = nodes.join(components(links).withColumnRenamed("component", "root"), "node", "left").join(ends, "node", "left")
+    rooted = rooted.withColumn("more", F.expr("if(of > 0, slice(fp, 3, 6), null)")).join(crowded(docs, ends), "node", "left")
     links = links.unionByName(verified(docs, close(nodes, stored(met(rooted), "met"))))
     rooted = components(links).select("node", F.col("component").alias("root"))
     return members.join(rooted, "node", "left").select("id", F.coalesce("root", "node").alias("component_id"))

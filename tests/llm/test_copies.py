@@ -82,3 +82,39 @@ def test_near_copies_of_eight_and_nine_words(spark):
     rows = [(k, " ".join(words[9 * (k // 2) :][: 8 + k % 2])) for k in range(6)]
     got = {r.id: r.component_id for r in K.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_a_group_writes_its_links_not_its_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):  # any two differ in six places or so: similar by about 0.73
+        own = list(base)
+        for k in rng.sample(range(6, 194), 3):
+            own[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, rows[i][1] + " end") for i in range(0, 150, 10)]
+    sets = {i: plain(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    root = {i: i for i in sets}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    written, whole = [], K.close
+    monkeypatch.setattr(K, "close", lambda nodes, pairs: (written.append(pairs.count()), whole(nodes, pairs))[1])
+    got = {r.id: r.component_id for r in K.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == root and len(set(root.values())) > 40
+    assert sum(written) < len(rows) * 65 / 2 and written[1] <= 2 * len(rows)  # of 13,530 pairs
+
+
+def test_short_sets_allow_all_that_are_similar(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for shared, one, two in ((8, 1, 1), (80, 10, 10), (800, 100, 100), (800, 0, 200), (90, 5, 5)):
+        for _ in range(10):
+            own = np.unique(rng.integers(0, 1 << 63, shared + one + two, np.uint64) * np.uint64(2))
+            pair = own[: shared + one], np.concatenate([own[:shared], own[shared + one :]])
+            rows.append(tuple((len(x), K.short(x).tolist()) for x in pair))
+    kinds = "p struct<n: long, own: array<short>>, q struct<n: long, own: array<short>>"
+    assert spark.createDataFrame(rows, kinds).where(K._may("p", "q")).count() == len(rows)
+    assert not spark.createDataFrame([((100, list(range(100))), (100, list(range(20, 120))))], kinds).where(K._may("p", "q")).count()
