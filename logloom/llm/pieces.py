@@ -38,7 +38,7 @@ from .common import Kept, slices, small_batches, table, texts
 
 MARK = "▁"
 #: Words, and parts of words, of a generation whose encodings are kept in each worker.
-KEPT_WORDS, KEPT_PARTS = 130_000, 80_000
+KEPT_WORDS, KEPT_PARTS = 200_000, 150_000
 KEPT_PAIRS = 300_000
 #: Arcs of the normaliser that are kept.
 KEPT_ARCS = 200_000
@@ -352,7 +352,10 @@ class Transducer:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers, as the library's encode gives them."""
-        text = self.normal(text)
+        return self.encode_normal(self.normal(text))
+
+    def encode_normal(self, text: str) -> bytes:
+        """encode_bytes of a text that is normalised already."""
         if not text:
             return b""
         if self.byte:
@@ -440,8 +443,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches):
             parts, back = [], []
             for text in batch.column("text").to_pylist():
-                parts.append(ids := machine.encode_bytes(text))
-                back.append(machine.decode(np.frombuffer(ids, "<i4").tolist()) == machine.normal(text))
+                text = machine.normal(text)
+                parts.append(ids := machine.encode_normal(text))
+                back.append(machine.decode(np.frombuffer(ids, "<i4").tolist()) == text)
             ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
             ids = np.frombuffer(b"".join(parts), "<i4")
             of_bytes = np.concatenate([[0], np.cumsum(machine.is_byte[ids])])

@@ -102,3 +102,11 @@ def test_defined_results(spark):
     back = {(r.doc_id, r.text) for r in pieces.decode(out).collect()}
     assert back == {(d, t or "") for d, t, _ in rows}
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_texts_are_normalised_once(monkeypatch):
+    calls, plain = [], pieces.Transducer.normal
+    monkeypatch.setattr(pieces.Transducer, "normal", lambda self, text: (calls.append(text), plain(self, text))[1])
+    machine = pieces.Transducer(open(pieces.model_path(), "rb").read())
+    ids = machine.encode_normal(machine.normal("Some  words"))
+    assert ids == machine.encode_bytes("Some  words") and len(calls) == 2
