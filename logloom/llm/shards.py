@@ -48,7 +48,7 @@ BITS, PROBES = 10, 7
 FOOTER, MAGIC = struct.Struct("<7Q8s"), b"LOOMSST2"
 CODEC = "zstd"
 #: Parts of texts, of a generation and of this length at most, whose ids are kept in each worker.
-KEPT_PARTS, KEPT_CHARS = 300_000, 200
+KEPT_PARTS, KEPT_CHARS = 1_000_000, 200
 #: Parts that are encoded as one text, and the character that stands for a blank in byte-level vocabularies.
 JOINED, BLANK = 1000, "\u0120"
 #: White space at which no text is cut.
@@ -94,38 +94,33 @@ class Encoder:
             self.parts.update((p, data[a:b]) for p, a, b in zip(own, ends, ends[1:]))
 
     def cut(self, text: str) -> list[str] | None:
-        """The parts of a text: what stands before the first blank, and what follows each (a line break stands in front of
-        its part). None if the text has to be encoded whole."""
+        """The parts of a text: what stands before the first blank, marked by one, and what follows each (a line break stands
+        in front of its part). None if the text has to be encoded whole."""
         if OTHER_SPACE.search(text) or any(map(text.__contains__, self.special)):
             return None
-        parts = text.replace("\n", " \n").split(" ")
-        return parts if parts[0] else None
+        text = text.replace("\n", " \n")
+        if "  " in text or "\n " in text or text[-1:] in " \n":  # an empty part, or a line break alone
+            return None
+        parts = text.split(" ")
+        if not parts[0]:
+            return None
+        parts[0] = " " + parts[0]
+        return parts
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.parts) >= KEPT_PARTS:
             self.old, self.parts = self.parts, {}
         known, old = self.parts, self.old
-        plans: list[list[str] | None] = []
-        new: list[str] = []
-        for text in batch:
-            parts = self.cut(text)
-            if parts is not None:
-                rest = set(parts[1:])
-                if "" in rest or "\n" in rest:
-                    parts = None
-                else:
-                    fresh = rest.difference(known)
-                    found = old.keys() & fresh
-                    known.update((p, old[p]) for p in found)
-                    fresh -= found
-                    known.update(dict.fromkeys(fresh, b""))
-                    new += fresh
-            plans.append(parts)
-        broken = [p for p in new if p[:1] == "\n"]
-        known.update(zip(broken, self.whole(broken)))
-        self.joined([p for p in new if p[:1] != "\n"])
-        starts = self.whole([t if p is None else p[0] for t, p in zip(batch, plans)])
-        out = [s if p is None else s + b"".join(map(known.__getitem__, p[1:])) for s, p in zip(starts, plans)]
+        plans = list(map(self.cut, batch))
+        fresh = set().union(*(p for p in plans if p is not None)).difference(known)
+        found = old.keys() & fresh
+        known.update((p, old[p]) for p in found)
+        new = list(fresh - found)
+        alone = [p for p in new if p[:1] in ("\n", " ")]
+        known.update(zip(alone, self.whole([p.removeprefix(" ") for p in alone])))
+        self.joined([p for p in new if p[:1] not in ("\n", " ")])
+        whole = iter(self.whole([t for t, p in zip(batch, plans) if p is None]))
+        out = [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in plans]
         for part in new:
             if len(part) > KEPT_CHARS:
                 del known[part]

@@ -64,3 +64,14 @@ def test_several_shards_are_read_in_order(spark):
     assert sum(x[1] for x in got) == sum(len(own.encode([t])[0]) // own.width + 1 for _, t, _ in rows)
     last = S.Shard(shards[-1].path)
     assert len(last.get(400)) == got[-1][1] > 100_000
+
+
+def test_first_words_are_encoded_once():
+    own = S.Encoder(S.tokenizer_path())
+    plain, asked, whole = own.tokenizer, [], own.whole
+    own.whole = lambda texts: (asked.extend(texts), whole(texts))[1]
+    texts = ["The cat", "The dog\nThe", "The", "cat The", "\nThe cat", "The  cat"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, f"<u{own.width}").tobytes() for t in texts]
+    assert own.encode(texts) == want and asked.count("The") == 1
+    asked.clear()
+    assert own.encode(texts) == want and sorted(asked) == ["\nThe cat", "The  cat"]
