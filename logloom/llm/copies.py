@@ -11,18 +11,19 @@ longer and meet under more words:
    the numbers fall, about 1 in 30 million shares none. Closer pairs share more. In texts of eight and nine words (four of
    five shingles) ties are frequent, so sets of five also stand under each four of their shingles, which is exact. Smaller
    sets are similar only if they are equal.
-2. Leads. First, nodes that share two decodings at once are compared with the least and the greatest node that do, which
-   joins a large group in one go.
-3. Links. Then nodes that share a decoding and are in different components leave the join as pairs if NEAR or fewer of 128 bits
-   differ, and WIDE or fewer of 512 where both are near leads already. Nodes near CROWD leads or more stand in a large group,
-   where most near pairs are no copies; they take their sets along, each shingle as 16 bits, and leave the join only if
-   these allow the similarity. Shingles that clash are counted as shared, so no link is lost.
-4. Verification. Of these, pairs within FAR bits of the whole fingerprint are linked if the similarity of their shingle
-   sets, from the texts, is 0.8 or more. Links become components.
-
-Two that are no copies share a decoding of a word with probability 1/4096, and the join looks at their 128 bits; this part
-grows with the square of the number of nodes. Within a large group the join looks at the sets of all pairs of different
-components, which costs time with the square of its size, but writes only those that may be links.
+2. Crowds. Nodes that share two decodings at once are compared with the least and the greatest node that do. Those with NEAR
+   or fewer of 128 bits different are joined, in chains too, into crowds. Most of a crowd may be no copies.
+3. Links in crowds. All pairs of a crowd are compared, by fingerprints and then by their sets of shingles. Crowds are dealt in
+   blocks, so that each two blocks meet in one task; it writes a forest of the links that it finds, never more than its nodes.
+4. Links between crowds. Nodes of different crowds (or of none) that share a decoding are pairs if NEAR or fewer of 128 bits
+   differ. Nodes of a batch travel as one packed row a word, and a task compares those of its bucket; nodes of one crowd are
+   passed over at once. Pairs within FAR bits of the whole fingerprint are linked if the similarity of their shingle sets, from
+   the texts, is 0.8 or more. A node that is near any of a crowd of CROWD or more becomes a guest of it, one row however many
+   it is near to; guests are compared with all of the crowd as in step 3. Links become components.
+
+Two that are no copies share a decoding of a word with probability 1/4096, and a task looks at their 128 bits; this part
+grows with the square of the number of nodes. Comparing a crowd costs time with the square of its size; what is written of it
+grows with its size, and what is dealt also with the number of its blocks.
 
 Defined results: words are as in operator 3 (ASCII case and blanks); a text of fewer than five words has one shingle, the
 whole; null texts are empty; texts without words are equal; an empty table gives an empty result.
@@ -46,11 +47,15 @@ SHINGLE, LONGS, WORD = 5, 23, 23
 BITS, WORDS = 64 * LONGS, 160
 #: Keys of two words.
 JOINT = 32
-#: Bits that may differ: of the first 128, of the first 512, and of all. At 0.8 they are 0.1515 of them; by the binomial law more
-#: differ in 1 pair of some 10^7.
-NEAR, WIDE, FAR = 44, 127, 304
-#: Near leads of a node that takes its shingles along, and how many of these it may have.
-CROWD, MOST = 8, 512
+#: Bits that may differ: of the first 128, and of all. At 0.8 they are 0.1515 of them; by the binomial law more differ in 1 pair
+#: of some 10^7.
+NEAR, FAR = 44, 304
+#: Nodes of a crowd that has guests, at least.
+CROWD = 64
+#: Nodes and shingles of a block of a crowd, about.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
+#: Nodes whose keys of a word are compared in one task, about, and the bytes of a packed one.
+BUCKET, PACKED = 250_000, 42
 #: Shingles whose votes are counted at once: a lane of eight bits holds so many.
 BLOCK = 255
 _rng = np.random.default_rng(5)
@@ -133,20 +138,81 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, n long, fp array<long>, fours array<long>")
 
 
-def keyed(nodes: DataFrame, joint: bool) -> DataFrame:
-    """nodes(node, n, root, more, own, fp, fours): node, n, root, more, own, x and y (the first 128 bits) for each key, of two words or of one."""
+def keyed(nodes: DataFrame) -> DataFrame:
+    """nodes(node, n, fp): node, x and y (the first 128 bits) for each key of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
-            keys = (joint_keys if joint else word_keys)(fps).view(np.uint64)
-            own = batch.select(["node", "n", "root", "more", "own", "fours"])
+            fps = _prints(batch)
             x, y = (pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(2))
-            yield pa.RecordBatch.from_arrays([*own.columns, x, y, _lists(list(keys))], [*own.schema.names, "x", "y", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), x, y, _lists(list(joint_keys(fps).view(np.uint64)))], ["node", "x", "y", "keys"])
 
-    rows = nodes.mapInArrow(run, "node long, n long, root long, more array<long>, own array<short>, fours array<long>, x long, y long, keys array<long>")
-    keys = f"if(n < {SHINGLE}, cast(array() as array<bigint>), keys)"
-    return rows.select("node", "n", "root", "more", "own", "x", "y", F.explode(F.expr(keys if joint else f"concat({keys}, fours)")).alias("key"))
+    rows = nodes.where(f"n >= {SHINGLE}").select("node", "fp").mapInArrow(run, "node long, x long, y long, keys array<long>")
+    return rows.select("node", "x", "y", F.explode("keys").alias("key"))
+
+
+def _prints(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    fps = rows.column("fp")
+    fps = fps.combine_chunks() if isinstance(fps, pa.ChunkedArray) else fps
+    return fps.flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+
+
+def packed(nodes: DataFrame, splits: int) -> DataFrame:
+    """nodes(node, n, crowd, big, fp): bucket (a word, and the remainder of its decoding by splits), rows: the nodes of a batch
+    that stand in it, PACKED bytes each, the first bytes of all before the second ones, which compresses well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by("node")
+            fps = _prints(batch)
+            node, crowd, n, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "crowd", "n", "big"))
+            fixed = np.column_stack([fps[:, :2].view(np.int64), node, crowd ^ node, n << 1 | big]).view(np.uint8)
+            keys = word_keys(fps).ravel()
+            code = (keys & 4095).astype(np.uint16)
+            bucket = (keys >> 12) * splits + code % splits
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            buckets, rows = bucket[order[first]], []
+            for at in np.split(order, first[1:]):
+                rows.append(np.column_stack([fixed[at // WORDS], code[at, None].view(np.uint8)]).T.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(rows, pa.binary())], ["bucket", "rows"])
+
+    return nodes.where(f"n >= {SHINGLE}").select("node", "n", "crowd", "big", "fp").mapInArrow(run, "bucket long, rows binary")
+
+
+def meeting(rows: list[bytes]) -> dict[str, np.ndarray]:
+    """Of the packed rows of a bucket, those that share a decoding, are near and of different crowds: a and b (a < b), two nodes;
+    where big, a guest and its crowd, which of two large ones is the greater."""
+    table = np.concatenate([np.frombuffer(r, np.uint8).reshape(PACKED, -1).T for r in rows])
+    code = np.ascontiguousarray(table[:, 40:]).view(np.uint16)[:, 0]
+    longs = np.ascontiguousarray(table[:, :40]).view(np.int64)
+    order = np.lexsort((longs[:, 3] ^ longs[:, 2], code))
+    code, (x, y, node, crowd, n) = code[order], np.ascontiguousarray(longs[order].T)
+    crowd, x, y, n, big = crowd ^ node, x.view(np.uint64), y.view(np.uint64), n >> 1, (n & 1).astype(bool)
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (crowd[1:] != crowd[:-1])]))
+    # each node meets those of its decoding that stand after its crowd
+    i, j = np.arange(len(code)), np.repeat(np.append(first[1:], len(code)), np.diff(first, append=len(code)))
+    end = np.searchsorted(code, code, side="right")
+    found = [np.zeros((2, 0), np.int64)]
+    while True:
+        if not (on := j < end).all():
+            i, j, end = i[on], j[on], end[on]
+        if not len(i):
+            break
+        near = np.flatnonzero(np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= NEAR)
+        if len(near):
+            p, q = i[near], j[near]
+            found.append(np.stack([p, q])[:, 5 * np.minimum(n[p], n[q]) >= 4 * np.maximum(n[p], n[q])])
+        j = j + 1
+    p, q = np.concatenate(found, axis=1)
+    swap = big[p] & (~big[q] | (crowd[p] > crowd[q]))
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    one, two = node[p], np.where(big[q], crowd[q], node[q])
+    found = np.stack([np.where(big[q], one, np.minimum(one, two)), np.where(big[q], two, np.maximum(one, two)), big[q]])
+    a, b, large = np.unique(found, axis=1)
+    return {"a": a, "b": b, "big": large.astype(bool)}
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,20 +225,67 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(docs.join(few(ids.distinct(), "ids"), "id", "left_semi").mapInArrow(run, "id long, own array<long>"), "sets")
 
 
-def short(own: np.ndarray) -> np.ndarray:
-    """The shingles' first 16 bits, each once."""
-    return np.unique(own >> np.uint64(48)).astype(np.uint16).view(np.int16)
-
-
-def crowded(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """ends(node, of): node, own (short): the nodes that are near many leads, unless they have very many shingles."""
+def crowd_links(docs: DataFrame, crowds: DataFrame, guests: bool = False) -> DataFrame:
+    """crowds(node, n, crowd, guest): a, b: links between the nodes of each crowd, with guests only those between a guest and
+    none; enough to join all that links join."""
+    sizes = crowds.groupBy("crowd").agg(F.expr(f"cast(ceil(greatest(count(1) / {BLOCK_NODES}, sum(n) / {BLOCK_SHINGLES})) as long)").alias("blocks"))
+    own = few(crowds.join(sizes, "crowd").select(F.col("node").alias("id"), "crowd", "blocks", "guest"), "crowds")
+    # crowds of one block are dealt many to a task
+    of, size = crowds.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(1, of // BLOCK_NODES, size // BLOCK_SHINGLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([short(s) if len(s) <= MOST else None for s in sets], pa.list_(pa.int16()))], ["node", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "crowd", "blocks", "guest")), _lists([fingerprint(s) for s in sets]), _lists(sets)], ["node", "crowd", "blocks", "guest", "fp", "own"])
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("crowd").combine_chunks()
+        crowd = table.column("crowd").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], crowd[1:] != crowd[:-1]]))
+        out = []
+        for at, n in zip(first.tolist(), np.diff(first, append=len(crowd)).tolist(), strict=True):
+            rows = table.slice(at, n)
+            node, block, guest = (rows.column(c).to_numpy() for c in ("node", "block", "guest"))
+            sides = [block] * (rows.column("i")[0] != rows.column("j")[0]) + [guest] * guests
+            sets = [s.values.to_numpy().view(np.uint64) for s in rows.column("own")]
+            out += [(min(p), max(p)) for p in node[forest(_prints(rows), sets, *sides)].tolist()]
+        return pa.table({c: pa.array([p[k] for p in out], pa.int64()) for k, c in enumerate("ab")})
+
+    rows = docs.join(own, "id").select("id", "text", "crowd", "blocks", "guest").mapInArrow(run, "node long, crowd long, blocks long, guest boolean, fp array<long>, own array<long>")
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    rows = rows.withColumn("bucket", F.expr(f"if(blocks > 1, crowd, -1 - pmod(xxhash64(crowd), {buckets}))"))
+    return rows.select("bucket", "i", "j", "crowd", "node", "block", "guest", "fp", "own").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def forest(fps: np.ndarray, sets: list[np.ndarray], *sides: np.ndarray) -> np.ndarray:
+    """Of the links between sets that differ in all sides, as many as join what they all join: pairs of places."""
+    sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    names, own = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, out = np.zeros(len(names), np.int64), []
+    for a in range(len(sets) - 1):
+        b = np.arange(a + 1, len(sets))
+        b = b[np.all([label[b] != label[a], *(s[b] != s[a] for s in sides)], axis=0)]
+        b = b[5 * np.minimum(sizes[b], sizes[a]) >= 4 * np.maximum(sizes[b], sizes[a])]
+        b = b[np.bitwise_count(fps[b, :2] ^ fps[a, :2]).sum(1) <= NEAR]
+        b = b[np.bitwise_count(fps[b] ^ fps[a]).sum(1, dtype=np.int64) <= FAR]
+        if not len(b):
+            continue
+        mark[own[at[a] : at[a + 1]]] = 1
+        shared = np.add.reduceat(mark[np.concatenate([own[at[c] : at[c + 1]] for c in b.tolist()])], np.cumsum(sizes[b]) - sizes[b])
+        mark[own[at[a] : at[a + 1]]] = 0
+        for c in b[9 * shared >= 4 * (sizes[a] + sizes[b])].tolist():
+            if label[c] != label[a]:
+                label[label == label[c]] = label[a]
+                out.append((a, c))
+    return np.array(out, np.int64).reshape(-1, 2)
 
-    return stored(docs.join(few(ends.where(f"of >= {CROWD}").select(F.col("node").alias("id")), "crowd"), "id", "left_semi").mapInArrow(run, "node long, own array<short>"), "short")
+
+def short(own: np.ndarray) -> np.ndarray:
+    """The shingles' first 16 bits, each once."""
+    return np.unique(own >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _may(p: str, q: str) -> str:
@@ -209,28 +322,29 @@ def _alike(m: str, n: str) -> str:
 def led(nodes: DataFrame) -> DataFrame:
     """a, b: nodes and the leads of their keys of two words, where near by their first 128 bits."""
     by_key = Window.partitionBy("key")  # the keys are made and dealt once
-    rows = keyed(nodes, True).select("key", F.struct("node", "x", "y").alias("own"))
+    rows = keyed(nodes).select("key", F.struct("node", "x", "y").alias("own"))
     rows = rows.withColumn("lo", F.min("own").over(by_key)).withColumn("hi", F.max("own").over(by_key)).where("lo.node < hi.node")
-    pairs = rows.select("own", F.explode(F.array("lo", "hi")).alias("lead")).where(f"own.node <> lead.node and {_near('own', 'lead')}")
+    near = f"own.node <> lead.node and bit_count(own.x ^ lead.x) + bit_count(own.y ^ lead.y) <= {NEAR}"
+    pairs = rows.select("own", F.explode(F.array("lo", "hi")).alias("lead")).where(near)
     return pairs.select(F.least("own.node", "lead.node").alias("a"), F.greatest("own.node", "lead.node").alias("b")).distinct()
 
 
-def _near(p: str, q: str) -> str:
-    return f"{_first(p, q)} <= {NEAR}"
+def met(nodes: DataFrame) -> DataFrame:
+    """nodes(node, n, crowd, big, fp): a, b, big: nodes of different crowds that share a key of a word and are near by their first
+    128 bits (a < b); if big, a node that so meets one of a large crowd, and the crowd."""
+    splits = min(4096, -(-nodes.count() // BUCKET) or 1)
 
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table(meeting(table.column("rows").to_pylist()))
 
-def _first(p: str, q: str) -> str:
-    return f"bit_count({p}.x ^ {q}.x) + bit_count({p}.y ^ {q}.y)"
+    return packed(nodes, splits).groupBy("bucket").applyInArrow(run, "a long, b long, big boolean").distinct()
 
 
-def met(nodes: DataFrame) -> DataFrame:
-    """nodes, with more (bits 128 to 512, or null) and own (short, or null): a, b (a < b): nodes of different roots that share a
-    key and are near by their first 128 bits; where both have more, by 512; where both have own, by these too."""
-    rows = keyed(nodes, False)
-    apart = " + ".join([_first("p", "q"), *(f"bit_count(get(p.more, {i}) ^ get(q.more, {i}))" for i in range(6))])
-    by_bits = f"{_near('p', 'q')} and (p.more is null or q.more is null or {apart} <= {WIDE}) and (p.own is null or q.own is null or {_may('p', 'q')})"
-    pairs = rows.alias("p").join(rows.hint("merge").alias("q"), F.expr(f"p.key = q.key and p.node < q.node and coalesce(p.root, p.node) <> coalesce(q.root, q.node) and {_alike('p.n', 'q.n')} and (p.n + q.n < {2 * SHINGLE} or {by_bits})"))
-    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+def shortest(nodes: DataFrame) -> DataFrame:
+    """a, b (a < b): nodes of four shingles and those of five that hold them."""
+    rows = nodes.select("node", "n", F.explode("fours").alias("key"))
+    four, five = (rows.where(f"n = {n}").select("key", F.col("node").alias(c)) for n, c in ((SHINGLE - 1, "p"), (SHINGLE, "q")))
+    return four.join(five, "key").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -241,12 +355,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = prints.select("id", "digest").join(least, "digest").select("id", "node")
     firsts = prints.where(f"n >= {SHINGLE - 1}").join(least.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi")
     nodes = stored(firsts.select(F.col("id").alias("node"), "n", "fp", "fours"), "firsts")
-    pairs = stored(led(nodes.withColumn("root", F.expr("cast(null as bigint)")).withColumn("more", F.expr("cast(null as array<bigint>)")).withColumn("own", F.expr("cast(null as array<smallint>)"))), "led")
-    links = verified(docs, close(nodes, pairs))
-    # nodes with near ones are few, and take more of their fingerprints along
-    ends = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("of")), "ends")
-    rooted = nodes.join(components(links).withColumnRenamed("component", "root"), "node", "left").join(ends, "node", "left")
-    rooted = rooted.withColumn("more", F.expr("if(of > 0, slice(fp, 3, 6), null)")).join(crowded(docs, ends), "node", "left")
-    links = links.unionByName(verified(docs, close(nodes, stored(met(rooted), "met"))))
-    rooted = components(links).select("node", F.col("component").alias("root"))
+    crowds = stored(components(stored(led(nodes), "led")).withColumnRenamed("component", "crowd"), "crowds")
+    sizes = crowds.groupBy("crowd").agg((F.count(F.lit(1)) >= CROWD).alias("big"))
+    nodes = nodes.join(few(crowds.join(sizes, "crowd"), "crowd"), "node", "left").withColumn("alone", F.col("crowd").isNull())
+    nodes = stored(nodes.withColumns({"crowd": F.coalesce("crowd", "node"), "big": F.coalesce("big", F.lit(False))}), "placed")
+    own = nodes.where("not alone").select("node", "n", "crowd", "big", F.lit(False).alias("guest"))
+    links = stored(crowd_links(docs, own), "forest")
+    pairs = stored(met(nodes), "met")
+    guests = pairs.where("big").select(F.col("a").alias("node"), F.col("b").alias("crowd"))
+    hosts = few(guests.select("crowd").distinct(), "hosts")
+    guests = guests.join(nodes.select("node", "n"), "node").select("node", "n", "crowd", F.lit(True).alias("guest"))
+    visits = stored(own.where("big").join(hosts, "crowd", "left_semi").select("node", "n", "crowd", "guest").unionByName(guests), "guests")
+    links = links.unionByName(stored(crowd_links(docs, visits, guests=True), "visits"))
+    pairs = close(nodes, pairs.where("not big").select("a", "b"))
+    pairs = pairs.unionByName(close(nodes.where(f"n <= {SHINGLE}"), stored(shortest(nodes), "shortest")))
+    rooted = components(links.unionByName(verified(docs, pairs))).select("node", F.col("component").alias("root"))
     return members.join(rooted, "node", "left").select("id", F.coalesce("root", "node").alias("component_id"))

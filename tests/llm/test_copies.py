@@ -118,3 +118,62 @@ def test_short_sets_allow_all_that_are_similar(spark):
     kinds = "p struct<n: long, own: array<short>>, q struct<n: long, own: array<short>>"
     assert spark.createDataFrame(rows, kinds).where(K._may("p", "q")).count() == len(rows)
     assert not spark.createDataFrame([((100, list(range(100))), (100, list(range(20, 120))))], kinds).where(K._may("p", "q")).count()
+
+
+def test_nodes_near_a_crowd_leave_as_its_guests(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, times, own):
+        words = list(words)
+        for k in rng.sample(range(6, 194), times):
+            words[k] = f"{own}{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(i, changed(base, 1, "x")) for i in range(100)]  # a crowd
+    rows += [(100 + i, " ".join(base[:130] + [f"g{i}x{k}" for k in range(70)])) for i in range(20)]  # alike to it by about a half
+    sets = {i: plain(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if a < b and alike(sets[a], sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    written, whole = [], K.close
+    monkeypatch.setattr(K, "close", lambda nodes, pairs: (written.append(pairs.count()), whole(nodes, pairs))[1])
+    monkeypatch.setattr(K, "CROWD", 20)
+    got = {r.id: r.component_id for r in K.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == root and len(set(root.values())) == 21
+    assert sum(written) <= 20 * 19 / 2  # of guests at most, none of the 2,000 with the crowd
+
+
+def test_blocks_of_a_crowd_and_its_guests_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_NODES", 8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:5] + [f"x{j}" for j in range(i)] + base[5 + i :])) for i in range(30)]  # each is like the next ones
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sets = {i: plain(t) for i, t in rows}
+    for guests in (False, True):
+        crowd = spark.createDataFrame([(i, len(sets[i]), 0, guests and i % 2 == 0) for i in sets], "node long, n long, crowd long, guest boolean")
+        links = [(r.a, r.b) for r in K.crowd_links(docs, crowd, guests).collect()]
+        assert all(a < b and alike(sets[a], sets[b]) and (not guests or (a + b) % 2) for a, b in links)
+        assert {r.component for r in K.components(K.crowd_links(docs, crowd, guests)).collect()} == {0}
+        assert len(links) < 30 * 4
+
+
+def test_packed_rows_give_all_pairs_that_share_a_decoding():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, np.uint64)
+    fps = np.array([K.fingerprint(np.concatenate([base[: 60 - k % 9], rng.integers(0, 1 << 63, k % 9, np.uint64)])) for k in range(40)])
+    node, code = np.arange(40) + (5 << 40), K.codes(fps)[:, 0] % 8  # few, so that many meet
+    crowd, n, big = np.where(node % 4 == 0, node[0], node), np.full(40, 60), node % 4 == 0
+    fixed = np.column_stack([fps[:, :2].view(np.int64), node, crowd ^ node, n << 1 | big]).view(np.uint8)
+    table = np.column_stack([fixed, code.astype(np.uint16)[:, None].view(np.uint8)])
+    got = K.meeting([table[:17].T.tobytes(), table[17:].T.tobytes()])
+    want = set()
+    for p in range(40):
+        for q in range(p + 1, 40):
+            if code[p] == code[q] and crowd[p] != crowd[q] and np.bitwise_count(fps[p, :2] ^ fps[q, :2]).sum() <= K.NEAR:
+                one, two = (q, p) if big[p] else (p, q)
+                want.add((int(node[one]), int(crowd[two] if big[two] else node[two]), bool(big[two])))
+    assert set(zip(*(got[c].tolist() for c in ("a", "b", "big")), strict=True)) == want and len(want) > 20
