@@ -18,9 +18,9 @@ FURTHEST = 40
 def random_points(calls: DataFrame, furthest: int = FURTHEST) -> DataFrame:
     """Each call with a decision point (now_pos) 1 to `furthest` calls later, by a hash of session and call; calls whose
     point has no call behind it are left out."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
+    n = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     step = F.pmod(F.xxhash64("session_id", "call_pos"), F.lit(furthest)) + 1
-    return calls.withColumn("n", n).withColumn("now_pos", (F.col("call_pos") + step).cast("int")).where("now_pos < n - 1").drop("n")
+    return calls.join(n, "session_id").withColumn("now_pos", (F.col("call_pos") + step).cast("int")).where("now_pos < n - 1").drop("n")
 
 
 def label_at(points: DataFrame, calls: DataFrame, texts: DataFrame) -> DataFrame:
@@ -34,17 +34,17 @@ def label_at(points: DataFrame, calls: DataFrame, texts: DataFrame) -> DataFrame
     return rows.select("session_id", "call_pos", "now_pos", F.coalesce(hit, F.lit(False)).cast("int").alias("label"))
 
 
-def context_states(points: DataFrame, calls: DataFrame, goals: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
-    """session_id, call_pos, now_pos, state, question: the call and where the work is at the decision point."""
+def context_states(points: DataFrame, calls: DataFrame, goals: DataFrame, key: str, names: list[str] | None = None, few: bool = False) -> DataFrame:
+    """session_id, call_pos, now_pos, state, question: the call and where the work is at the decision point. Only calls at a
+    decision point, and the four before it, are redacted for it. few: the caller has bounded the points, so that they can be
+    sent to all tasks."""
     clean = lambda c: redact(c, key, names)
-    w = Window.partitionBy("session_id").orderBy("call_pos")
-    step = F.concat("tool", F.lit(" "), F.left(clean(F.col("target")), F.lit(90)))
-    now = calls.withColumn("step", step).select(
-        "session_id",
-        F.col("call_pos").alias("now_pos"),
-        F.left(clean(collapse_space(F.col("narration"))), F.lit(250)).alias("agent_now"),
-        F.collect_list("step").over(w.rowsBetween(-4, 0)).alias("recent_steps"),
-    )
+    last = points.select("session_id", "now_pos").distinct().select("session_id", "now_pos", F.explode(F.sequence(F.greatest(F.col("now_pos") - 4, F.lit(0)), F.col("now_pos"))).alias("call_pos"))
+    near = calls.select("session_id", "call_pos", "tool", "target", "narration").join(F.broadcast(last) if few else last.hint("merge"), ["session_id", "call_pos"])
+    said = F.when(F.col("call_pos") == F.col("now_pos"), F.left(clean(collapse_space(F.col("narration"))), F.lit(250)))
+    near = near.select("session_id", "now_pos", "call_pos", F.concat("tool", F.lit(" "), F.left(clean(F.col("target")), F.lit(90))).alias("step"), said.alias("said"))
+    now = near.groupBy("session_id", "now_pos").agg(F.max("said").alias("agent_now"), F.array_sort(F.collect_list(F.struct("call_pos", "step"))).alias("steps"), F.max("call_pos").alias("last"))
+    now = now.where("last = now_pos").select("session_id", "now_pos", "agent_now", F.expr("filter(transform(steps, x -> x.step), x -> x is not null)").alias("recent_steps"))
     rows = points.join(goals, "session_id").join(now, ["session_id", "now_pos"]).withColumn("base", sessions.state_of(key, names))
     state = F.struct(
         F.col("base.goal").alias("goal"),
