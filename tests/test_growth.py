@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from logloom.operators import labels
+from logloom.functions.gates import folded, may_have
+from logloom.functions import patterns as P
+from logloom.operators import labels, retention, sessions, usage
+from logloom.plans import queries
 from logloom.sources import sessions as source
 
 
@@ -49,3 +52,61 @@ def test_files_are_read_in_parts(spark, tmp_path):
         assert source.session_records(spark, str(tmp_path), 1, without="b+c").select("session_id").distinct().count() == 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_common_tokens_meet_in_order(spark):
+    """A token of all rows and all events: the join of both would have 40,000 rows."""
+    n = 200
+    found = spark.createDataFrame([("s", "tok_1/xy", i, "agent" if i % 3 == 0 else "tool") for i in range(n)], "session string, token string, pos long, kind string")
+    tokens = spark.createDataFrame([("s", "tok_1/xy", i, i + k) for i in range(n) for k in (1, 4)] + [("s", "never_1/", 5, 9)], "session string, token string, start long, now long")
+    out = usage.classified(tokens, found)
+    assert "Join" not in plan(out)
+    got = {(r.token, r.start, r.now): (r.use, r.proven) for r in out.collect()}
+    for (token, start, now), (use, proven) in got.items():
+        seen = [(p, p % 3 == 0) for p in range(n)] if token == "tok_1/xy" else []
+        own = any(a and start <= p < now for p, a in seen)
+        first = min((p for p, a in seen if a and p >= now), default=None)
+        tool = min((p for p, a in seen if not a and p >= start), default=None)
+        want = None if first is None else "own" if own else "recarried" if tool is not None and tool < first else "fresh"
+        assert (use, proven) == (want, own)
+    assert len(got) == 2 * n + 1 and {v[0] for v in got.values()} >= {None, "own", "recarried"}
+
+
+def test_tokens_within_runs_of_their_session(spark):
+    runs = spark.createDataFrame([("s", 1, "plainword_1"), ("s", 2, "xplainword_1y"), ("t", 3, "plainword_1")], "session string, pos int, run string")
+    wanted = spark.createDataFrame([("s", "plainword_1")], "session string, token string")
+    assert sorted(r.pos for r in usage.met(wanted, runs, "pos").collect()) == [1, 2]
+
+
+def test_quoted_lines_shuffle_no_words(spark, sf):
+    assert "Exchange hashpartitioning" not in plan(queries.quoted_lines(spark, sf))
+
+
+def test_gates_let_all_through(spark):
+    """Texts that the three long patterns match pass their gates, in any case and behind digits."""
+    topics = "Fakturace|VYÚČTOVÁNÍ|naúčtovat|účtenka|účtování|účetní|idoklad|fakturoidem|ISDOC|invoices|billing|ičo|DIČ|dph|iban|ſwift|číslo  účtu|VAT|daní|daně|daňová|smlouva|smluvní|contracts|NDA|gdpr|dpo|obchodní podmínky|zpracování osobních|osobních údajů|rodné číslo|narozena|telefonu|ceníky|cenový|cena|cenách|KČ|czk|50 eur|7usd|platby|platební|předplatné|tarify|provize|mzda|výplata|odměna|Kredity|credit|credits|subscription|refunds|payout|pricing|revenue|salary|payroll|stripe|paypal|gopay|comgate|klienti|zákazníci|nabídka|nabídnout|poptávka|objednávka|obchodník|prodejna|tržby|marže|zisky|rozpočty|rozpočet|investoři|investİce|investice|strategie|roadmaps|konkurence|competitors|pitch_deck|yc|y-combinator|fundraising|valuations|konverzní|\u212aredit".split("|")
+    cases = [("topic", P.SENSITIVE, t) for t in topics]
+    cases += [("security finding", P.DROP_ROWS["security finding"], t) for t in "SSRF|xss|csrf|rce|sqli|sql \n injection|idor|lfi|CVE-2024|vulnerable|zranitelnost|exploits|pentests|penetration tests|security  audits|security\tissue|bezpečnostní díry|bezpečnostní chyba".split("|")]
+    cases += [("machine inventory", P.DROP_ROWS["machine inventory"], t) for t in "tailscale  status|ip addr|ip\tlink|ifconfig|NMCLI|printenv|hostnamectl|arp -a|ss -tl|ss  -n|netstat|lsusb|lspci|dmidecode|/etc/hosts|x/.ssh/id".split("|")]
+    rows = spark.createDataFrame([(g, p, f"{a}{t}{b}") for g, p, t in cases for a, b in (("", ""), ("é ", "."), ("1", " 2"), ("_", "\n"))], "gate string, p string, text string")
+    for g, p in {(g, p) for g, p, _ in cases}:
+        own = rows.where(F.col("gate") == g).select("text", F.col("text").rlike(P.regex(p)).alias("hit"), may_have(g, folded(F.col("text"))).alias("gate"))
+        out = own.collect()
+        assert [r.text for r in out if r.hit and not r.gate] == [] and sum(r.hit for r in out) > len(out) // 4
+        assert spark.range(1).select(may_have(g, F.lit("nothing of that kind stands here"))).first()[0] is False
+
+
+def test_strings_without_json(spark):
+    rows = spark.createDataFrame([(("a", ["x", None], [("q", 3)], None), "w", 1.5), (None, None, None)], "s struct<b: string, c: array<string>, d: array<struct<e: string, n: int>>, f: string>, t string, n double").coalesce(1)
+    own = [sessions.strings_in(F.col(f.name), f.dataType, F.lit(f.name)) for f in rows.schema]
+    got = {(r.path, r.value) for r in rows.select(F.inline(F.concat(*own))).collect()}
+    json = sessions.strings_of(rows.select(F.monotonically_increasing_id().alias("id"), F.to_json(F.struct("*")).alias("j")), "id", "j").collect()
+    assert got == {(r.path, r.value) for r in json} == {("s.b", "a"), ("s.c[0]", "x"), ("s.d[0].e", "q"), ("t", "w")}
+    assert sessions.strings_in(F.col("x"), spark.range(1).select(F.current_date()).schema[0].dataType) is None
+
+
+def test_scores_are_bound_once(spark):
+    """The character scores stand in the plan once, so they are not made anew for each line."""
+    scores = F.transform(F.sequence(F.lit(0), F.length("t") - 1), lambda i: (i % 7).cast("double"))
+    rows = spark.createDataFrame([("ab\n\ncde\nf",)], "t string").select(retention.line_scores(F.split("t", "\n"), scores).alias("m"))
+    assert plan(rows).count("% 7") == 1 and rows.first().m == [0.5, None, 5.0, 1.0]
